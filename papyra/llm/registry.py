@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from papyra.llm import exact_dedup
+from papyra.llm import decontaminate, exact_dedup, url_filter
 
-QUERIES: dict[str, Callable] = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
-SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
+QUERIES: dict[str, Callable] = {
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op7_url_filter": url_filter.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+}
