@@ -56,3 +56,29 @@ def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, size: str, total
     hot = F.broadcast(table.where(F.col(size) > limit))
     cold = table.where(F.col(size) <= limit)
     return rows.join(hot, key, "inner").unionByName(rows.join(F.broadcast(table.where(F.col(size) > limit).select(key)), key, "left_anti").join(cold, key, "left"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``rows`` labelled documents outside fold 0, the first by a hash of their id.
+
+    The bound makes the sample safe to collect. Null ids and labels are left out; of a text's copies one remains.
+    """
+    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold(F.col(id_col)) != 0))
+    chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").collect()
+    unique = {r._text: r._y for r in sorted(found, key=lambda r: r._id)}
+    return list(unique), list(unique.values())
+
+
+def logistic(x, y, l2: float = 1e-3, rounds: int = 50):
+    """Weights of a small logistic regression (a column of ones included in x), by Newton's method."""
+    import numpy as np
+
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + l2 * len(x) * np.eye(len(w)) * 0.01 + 1e-9 * np.eye(len(w)), x.T @ (y - p) - l2 * len(x) * 0.01 * w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
