@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,12 @@ from papyra.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encoded pre-tokens that a worker remembers, and the longest it does: together the bound of that memory.
-MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 700_000, 48
+#: The pattern under which texts can be cut at single spaces, and what it counts as white space (or Python does).
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\s", c))
+
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -105,35 +112,55 @@ def merge(piece: bytes, rank_of) -> list[int]:
 
 
 class Memo(dict):
-    """Pre-token -> little-endian ids; bounded, and only a shortcut for what the two tiers return."""
+    """Text piece -> little-endian ids; bounded, and only a shortcut for what `of` returns."""
 
-    def __init__(self, table: PerfectHash):
+    def __init__(self, of):
         super().__init__()
-        self.table = table
-        self.parts = dict(zip(table.keys, table.ranks, strict=True)).get  # ranks of what merges inside a pre-token
+        self.of = of
 
-    def __missing__(self, token: str) -> bytes:
-        piece = token.encode()
-        whole = self.table.get(piece)
-        ids = [whole] if whole is not None else merge(piece, self.parts)
-        out = np.array(ids, "<u4").tobytes()
-        if len(token) <= MEMO_CHARS:
+    def __missing__(self, piece: str) -> bytes:
+        out = self.of(piece)
+        if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
-            self[token] = out
+            self[piece] = out
         return out
 
 
 class Codec:
     def __init__(self, table: PerfectHash, pattern: str):
+        self.table = table
         self.split = regex.compile(pattern).findall
-        self.memo = Memo(table)
+        self.parts = dict(zip(table.keys, table.ranks, strict=True)).get  # ranks of what merges inside a pre-token
+        self.tokens, self.words = Memo(self._token), Memo(self._word)
+        self.by_space = pattern == SPACED
         self.bytes_of = [b""] * (max(table.ranks, default=-1) + 1)
         for r, k in zip(table.ranks, table.keys, strict=True):
             self.bytes_of[r] = k
 
+    def _token(self, token: str) -> bytes:
+        """The two tiers: a pre-token of the vocabulary by perfect hash, any other by merging."""
+        piece = token.encode()
+        whole = self.table.get(piece)
+        return array("I", [whole] if whole is not None else merge(piece, self.parts)).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, self.split(" " + word)))
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+        """Ids of a text, little-endian.
+
+        Under the pattern SPACED a match begins at every single space between two characters that aren't white
+        space, whatever stands elsewhere, so words are looked up whole. Texts with other spaces are split at once.
+        """
+        words = text.split(" ")
+        if self.by_space and len(words) > 1 and all(words) and not self._blank_edges(words):
+            return b"".join([*map(self.tokens.__getitem__, self.split(words[0])), *map(self.words.__getitem__, words[1:])])
+        return b"".join(map(self.tokens.__getitem__, self.split(text)))
+
+    @staticmethod
+    def _blank_edges(words: list[str]) -> bool:
+        return any(map(_BLANKS.intersection, {w[0] + w[-1] for w in words}))
 
     def decode(self, ids: bytes) -> bytes:
         bytes_of = self.bytes_of

@@ -24,10 +24,19 @@ SIGNIFICANT = 0.5
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: Bytes of a word's stem, which stands for words too rare to be judged by themselves.
+STEM = 6
+
+
 def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
+def stems(words: list[bytes]) -> list[bytes]:
+    """A stem of each word; it can't equal a word, as it ends in a space."""
+    return [w[:STEM] + b" " for w in words]
+
+
 def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[bytes, float]:
     """Log-odds of a token's document frequency in toxic against clean documents, with a Dirichlet prior from both.
 
@@ -80,6 +89,7 @@ def passages(model: dict, text: str) -> tuple[int, list[tuple[int, int, float]]]
     """(tokens, maximal segments) of a text."""
     words = tokens(text)
     odds = np.fromiter(map(model["odds"].get, words, repeat(0.0)), float, len(words))
+    np.maximum(odds, np.fromiter(map(model["odds"].get, stems(words), repeat(0.0)), float, len(words)), out=odds)
     at = np.flatnonzero(odds)
     return len(words), segments(at, odds[at], DRIFT) if len(at) else []
 
@@ -99,9 +109,10 @@ def fit(texts: list[str], y: list[int]) -> dict:
     toxic, clean, all_clean, n_words = Counter(), Counter(), Counter(), 0
     for text, label in zip(texts, y, strict=True):
         words = tokens(text)
-        (toxic if label else clean).update(set(words))
+        (toxic if label else clean).update({*words, *stems(words)})
         if not label:
             all_clean.update(words)
+            all_clean.update(stems(words))
             n_words += len(words)
     odds = log_odds(toxic, clean, sum(y), len(y) - sum(y))
     share = np.array([(all_clean.get(w, 0) + 0.5) / (n_words + 1) for w in odds])
