@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import read
+from papyra.llm.common import read, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encoded pre-tokens that a worker remembers, and the longest it does: together the bound of that memory.
@@ -183,6 +183,7 @@ def _codec(df: DataFrame, path: str | None, pattern: str | None):
     """A function that gives a Python worker its codec. The vocabulary file bounds what is broadcast."""
     import public_tokenizers
 
+    ship(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(PerfectHash(load_ranks(path or public_tokenizers.path(VOCABULARY))))
     pattern = pattern or public_tokenizers.PATTERN
     return lambda: _codec_here(table, pattern)

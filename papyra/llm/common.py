@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,20 @@ LOWER = UPPER.lower()
 HOT_SHARE = 1000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: where PYTHONPATH or the working folder don't do so, as an added zip."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    near = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if sc.applicationId in _shipped or any(x and Path(x).resolve() == root for x in near):
+        return
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/papyra", "zip", root, "papyra"))
+    _shipped.add(sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import checkpoint, skew_safe_join
+from papyra.llm.common import checkpoint
 
 
 def _state(links: DataFrame) -> tuple[int, int]:
@@ -13,32 +13,34 @@ def _state(links: DataFrame) -> tuple[int, int]:
     return row.n, row.s or 0
 
 
-def _star(pairs: DataFrame, total: int, small: bool) -> DataFrame:
-    """pairs (u, v): v is a neighbour of u. The neighbours of u (and u itself) get linked to their minimum."""
-    lowest = checkpoint(pairs.groupBy("u").agg(F.min("v").alias("_low"), F.count(F.lit(1)).alias("_deg")).withColumn("_low", F.least("u", "_low")))
-    near = skew_safe_join(pairs, lowest, "u", "_deg", total).select(F.col("v").alias("u"), F.col("_low").alias("v"), F.col("u").alias("_of"))
-    if small:
-        out = near.select("u", "v").unionByName(lowest.select("u", F.col("_low").alias("v")))
-    else:
-        out = near.where("u > _of").select("u", "v")
-        out = out.unionByName(lowest.where("u > _low").select("u", F.col("_low").alias("v")))
+def _stars(pairs: DataFrame, small: bool) -> DataFrame:
+    """pairs (u, v): v is a neighbour of u. The neighbours of u (and u itself) get linked to their minimum.
+
+    Both sides of the join are written tables with a shuffle each, so adaptive execution splits the rows of a node of
+    high degree over tasks.
+    """
+    low = checkpoint(pairs.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("u", "_v").alias("_low")))
+    near = pairs.join(low, "u")
+    if not small:
+        near = near.where("v > u")
+    out = near.select(F.col("v").alias("u"), F.col("_low").alias("v")).unionByName(low.select("u", F.col("_low").alias("v")))
     return out.where("u > v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(u, label): the smallest node reachable, for every node u of links (u, v) that isn't its own label.
+    """(u, label): the smallest node reachable, for every node of links (u, v) that isn't its own label.
 
-    Links are symmetric; self links and repeats are ignored; none give an empty table. Every round is a partial
-    aggregation and joins in which nodes of high degree are broadcast (fewer than a thousand by their share of the links), so a
-    star over all nodes makes no hot task. Nothing is collected but a count and a checksum.
+    Links are symmetric; self links and repeats are ignored; none give an empty table. Rounds grow with the logarithm
+    of a component's size. Nothing is collected but a count and a checksum, which tell when nothing changes.
     """
     links = checkpoint(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    n, s = _state(links)
-    while n:
-        both = checkpoint(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = checkpoint(_star(both, 2 * n, small=False))
-        links = checkpoint(_star(large, large.count(), small=True))
-        was, (n, s) = (n, s), _state(links)
-        if was == (n, s):
+    state = _state(links)
+    while state[0]:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = checkpoint(_stars(both, small=False))
+        links = checkpoint(_stars(large, small=True))
+        was, state = state, _state(links)
+        # Stars only: every label is a label of nothing else. Else another round is due.
+        if was == state or links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and links.groupBy("u").count().where("count > 1").isEmpty():
             break
     return links.select("u", F.col("v").alias("label"))

@@ -10,16 +10,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import HOT_SHARE, checkpoint, read, skew_safe_join
+from papyra.llm.common import HOT_SHARE, checkpoint, read, ship, skew_safe_join
 from papyra.llm.components import components
 
 #: A signature has K symbols of 16 bits. At similarity 0.8 the symbols that differ number 12.8 on average, with a
 #: deviation of 3.2; pairs with at most DISTANCE are all found (beyond: about 1 in 10,000 pairs at exactly 0.8).
 K, DISTANCE, CHUNKS = 64, 25, 13
 #: Rounds in which each unresolved node is held against one pivot of its buckets, before all that is left is compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Rows of a bucket that are compared with each other in one task; larger buckets are dealt to several by blocks.
 BLOCK = 1024
+#: Most nodes by which the texts are filtered with a broadcast (16 bytes each); beyond, that join shuffles.
+BROADCAST_NODES = 1_000_000
 #: Copies of a set that a pair join spreads over, so that a set in many pairs isn't one task's.
 SALTS = 64
 
@@ -172,6 +174,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     if percent < 80:
         raise ValueError("signatures are sized for a similarity of 0.8 or more")
+    ship(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
     prints = checkpoint(source.mapInArrow(_fingerprints(n), f"_id {kind}, _n bigint, _set binary, _sig binary").withColumn("_c", F.xxhash64("_set")))
@@ -224,8 +227,9 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
 
 def _sets_of(source: DataFrame, rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(_c, _shingles) of the nodes that share a bucket, from the text of each node's first row."""
-    wanted = rows.join(members.select("_c").distinct(), "_c").select("_c", "_rep", F.col("_set").alias("_want"))
-    texts = source.join(wanted, F.col("_id") == F.col("_rep"), "left_semi").select("_id", "_text")
+    wanted = checkpoint(rows.join(members.select("_c").distinct(), "_c").select("_rep").distinct())
+    few = wanted.count() <= BROADCAST_NODES
+    texts = source.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_id", "_text")
     sets = texts.mapInArrow(_set_rows(n), "_set binary, _shingles array<bigint>")
     return sets.where("_set is not null").select(F.xxhash64("_set").alias("_c"), "_shingles").dropDuplicates(["_c"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import fold, labelled_sample, logistic, read
+from papyra.llm.common import fold, labelled_sample, logistic, read, ship
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 4000
@@ -174,6 +174,7 @@ def chunks(column: pa.Array, docs: int = CHUNK_DOCS, chars: int = CHUNK_CHARS) -
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", scorer=score) -> DataFrame:
     """(id, score) of every row; one pass, no shuffle."""
+    ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # some hundred weights
 
