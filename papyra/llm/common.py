@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,13 +47,12 @@ def fold(doc_id: Column, k: int = 5) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % k).cast("int")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder named by spark.checkpoint.dir, which survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent is a folder chosen here: a temporary one on a local master, one under the
-    (shared) warehouse otherwise.
+    Only where that setting is absent is one chosen here: a temporary one on a local master, one under the (shared)
+    warehouse otherwise.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -60,9 +60,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
             local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
             named = tempfile.mkdtemp(prefix="papyra-ckpt-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder, so that it survives lost executors; cuts the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Most ids of dropped rows that are broadcast (some 32 bytes each); beyond, the same join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart where ids repeat; ordered as the ids are."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """docs but the rows whose key is in dropped (column _dropped); texts move only if more than BROADCAST_IDS rows go."""
+    dropped = checkpoint(dropped.select(F.xxhash64("_dropped.id", "_dropped.hash", F.lit("k")).alias("_dropped")).distinct())
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, F.xxhash64(key["id"], key["hash"], F.lit("k")) == F.col("_dropped"), "left_anti")
+
+
 def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of rows with table (unique by key; column size: the rows that hold the key) without hot tasks.
 

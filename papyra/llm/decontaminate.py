@@ -32,7 +32,7 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, window: int) -> D
     return each.select(F.xxhash64(F.col("_words"), F.lit("w")).alias("_w"), "_words", F.size("_words").alias("_len"), "_items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, inverse: int = MIN_SHARE_INVERSE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, inverse: int = MIN_SHARE_INVERSE, carry: bool = False) -> DataFrame:
     """One row per document row: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is any `window` consecutive words of an item (an item of fewer words is one window). A window occurs in a
@@ -42,7 +42,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Null and empty texts have no words: nothing is hit. Null item ids are the text ''. Items without words and empty
     tables give no windows. Rows that repeat an id each get a row of their own text. Other columns are ignored.
-    Texts are read twice and never shuffled unless more than BROADCAST_ROWS documents hold candidates.
+    Texts are read twice and never shuffled unless more than BROADCAST_ROWS documents hold candidates. With carry, the
+    input's row comes along as a struct, `row`.
     """
     spark = docs.sparkSession
     windows = checkpoint(windows_of(items.withColumn(item_col, F.coalesce(F.col(item_col).cast("string"), F.lit(""))), item_col, item_text, window))
@@ -55,7 +56,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     vocabulary = checkpoint(parts.select("_s").distinct())
     n_vocabulary = vocabulary.count()
 
-    keyed = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_all"))
+    keyed = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_all"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     # Array of the shingle hashes at each position; shingles of several lengths (only for short items) follow one another.
     streams = []
     for k in lengths:
@@ -78,15 +79,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     per_doc = checkpoint(found.groupBy("_id").agg(F.collect_list(F.struct("_start", "_len", "_words", "_items")).alias("_found")))
     n_docs = per_doc.count()
 
-    out = keyed.join(small(per_doc, n_docs), keyed["_id"].eqNullSafe(per_doc["_id"]), "left").select(keyed["_id"], F.size("_all").alias("n_words"), F.expr("filter(_found, c -> slice(_all, c._start + 1, c._len) = c._words)").alias("_hits"))
+    out = keyed.join(small(per_doc, n_docs), keyed["_id"].eqNullSafe(per_doc["_id"]), "left").select(keyed["_id"], "row", F.size("_all").alias("n_words"), F.expr("filter(_found, c -> slice(_all, c._start + 1, c._len) = c._words)").alias("_hits"))
     out = out.select(
-        F.col("_id").alias(id_col), F.col("n_words").cast("long"),
+        F.col("_id").alias(id_col), "row", F.col("n_words").cast("long"),
         F.coalesce(F.expr("size(array_distinct(flatten(transform(_hits, c -> sequence(c._start, c._start + c._len - 1)))))"), F.lit(0)).cast("long").alias("n_hit"),
         F.expr("coalesce(array_sort(array_distinct(flatten(transform(_hits, c -> c._items)))), cast(array() as array<string>))").alias("_items"),
     )
     return out.select(
         id_col, "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (inverse * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (inverse * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *(["row"] if carry else []),
     )
 
 

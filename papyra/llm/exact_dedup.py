@@ -37,7 +37,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, so null and empty texts form
     one group. The row with the largest id stays; null ids sort below all others (a group of null ids only has a null
-    keep_id and keeps nothing). Rows that repeat an id each get a row; all rows that carry the kept id and text are
+    keep_id and keeps its rows). Rows that repeat an id each get a row; all rows that carry the kept id and text are
     kept. An empty table gives an empty result. Columns other than the two named are ignored, whatever their names.
 
     Pass 1 hashes every row once (the only read of the texts) and builds the repeat filter. In pass 2 rows outside
@@ -59,7 +59,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     out = single.unionByName(skew_safe_join(maybe, groups, "_sha", "group_size", n))
     return out.select(
         F.col("_id").alias(id_col), "keep_id", "group_size",
-        F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
 

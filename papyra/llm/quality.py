@@ -186,6 +186,21 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose score (as in classify) is at least threshold; one pass, no shuffle."""
+    ship(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "quality", sample, id_col, text_col)))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [score(model.value, part) for part in chunks(batch.column(at).fill_null(""))]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
