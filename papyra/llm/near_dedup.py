@@ -7,23 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import HOT_SHARE, checkpoint, read, ship, skew_safe_join
+from papyra.llm.common import checkpoint, read, ship
 from papyra.llm.components import components
 
 #: A signature has K symbols of 16 bits. At similarity 0.8 the symbols that differ number 12.8 on average, with a
 #: deviation of 3.2; pairs with at most DISTANCE are all found (beyond: about 1 in 10,000 pairs at exactly 0.8).
 K, DISTANCE, CHUNKS = 64, 25, 13
 #: Rounds in which each unresolved node is held against one pivot of its buckets, before all that is left is compared.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Rows of a bucket that are compared with each other in one task; larger buckets are dealt to several by blocks.
 BLOCK = 1024
 #: Most nodes by which the texts are filtered with a broadcast (16 bytes each); beyond, that join shuffles.
 BROADCAST_NODES = 1_000_000
-#: Copies of a set that a pair join spreads over, so that a set in many pairs isn't one task's.
-SALTS = 64
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -130,31 +128,16 @@ def _set_rows(n: int):
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row (one cell of a bucket: lists a and b of nodes, components and signatures) the pairs within DISTANCE."""
     for batch in batches:
-        us, vs = [], []
+        found = []
         for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = ((np.array([x["_c"] for x in side], np.int64), np.array([x["_comp"] for x in side], np.int64), np.frombuffer(b"".join(x["_sig"] for x in side), np.uint16).reshape(-1, K)) for side in (left, right))
-            for i in range(len(a[0])):
-                ok = (a[1][i] != b[1]) & ((a[2][i] != b[2]).sum(axis=1) <= DISTANCE)
-                if ok.any():
-                    vs.append(b[0][ok])
-                    us.append(np.full(len(vs[-1]), a[0][i]))
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            u, v = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-
-def _distance(a: Column, b: Column) -> Column:
-    """Number of symbols (four hex digits each) that differ."""
-    symbol = lambda x: F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: F.substr(x, i * 2 + 1, F.lit(2)))
-    return F.size(F.filter(F.zip_with(symbol(a), symbol(b), lambda x, y: x != y), lambda x: x))
-
-
-def _attach(pairs: DataFrame, key: str, other: str, table: DataFrame, column: str) -> DataFrame:
-    """Join table (_c, column) to pairs by key; a key in many pairs is spread over SALTS copies, made only as needed."""
-    pairs = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    copies = pairs.select(key, "_salt").distinct().join(table.select(F.col("_c").alias(key), F.col(column).alias(f"{column}_{key}")), key)
-    return pairs.join(copies, [key, "_salt"]).drop("_salt")
+            x, y = ((np.array([r["_c"] for r in side], np.int64), np.array([r["_comp"] for r in side], np.int64), np.frombuffer(b"".join(r["_sig"] for r in side), np.uint16).reshape(-1, K)) for side in (left, right))
+            for i in range(len(x[0])):
+                ok = np.flatnonzero((x[1][i] != y[1]) & ((x[2][i] != y[2]).sum(axis=1) <= DISTANCE))
+                if len(ok):
+                    u, v, a, b = np.full(len(ok), x[0][i]), y[0][ok], np.full(len(ok), x[1][i]), y[1][ok]
+                    found.append(np.where(u > v, [u, v, a, b], [v, u, b, a]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["u", "v", "a", "b"])
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -178,15 +161,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
     prints = checkpoint(source.mapInArrow(_fingerprints(n), f"_id {kind}, _n bigint, _set binary, _sig binary").withColumn("_c", F.xxhash64("_set")))
-    rows = checkpoint(prints.groupBy("_c").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_rows"), F.first("_set").alias("_set"), F.first("_sig").alias("_sig")).where("_set is not null"))
-    n_rows = prints.count()
+    rows = checkpoint(prints.groupBy("_c").agg(F.min("_id").alias("_rep"), F.first("_set").alias("_set"), F.first("_sig").alias("_sig")).where("_set is not null"))
     labels = _label(source, rows, n, percent)
-    node = rows.select("_c", "_rep", "_rows").join(labels, F.col("_c") == F.col("u"), "left").select("_c", "_rows", "_rep", F.coalesce("label", "_c").alias("_label"))
-    # Smallest id of each component; a partial aggregate, as is the count that finds the hot ones.
-    node = checkpoint(node)
-    least = checkpoint(node.groupBy("_label").agg(F.min("_rep").alias("_least"), F.count(F.lit(1)).alias("_size")))
-    node = checkpoint(skew_safe_join(node, least, "_label", "_size", max(n_rows, 1)).select("_c", "_rows", "_least"))
-    some = skew_safe_join(prints.where("_set is not null").select("_id", "_n", "_c"), node, "_c", "_rows", max(n_rows, 1))
+    node = checkpoint(rows.select("_c", "_rep").join(labels, F.col("_c") == F.col("u"), "left").select("_c", "_rep", F.coalesce("label", "_c").alias("_label")))
+    # A component's smallest id is a partial aggregate; the joins that bring it back split hot components and copies.
+    least = checkpoint(node.groupBy("_label").agg(F.min("_rep").alias("_least")))
+    node = checkpoint(node.join(least, "_label").select("_c", "_least"))
+    some = prints.where("_set is not null").select("_id", "_n", "_c").join(node, "_c")
     none = prints.where("_set is null").select("_id", "_n", F.col("_id").alias("_least"))
     out = some.select("_id", "_n", "_least").unionByName(none)
     own = F.when(F.col("_id").isNotNull(), F.col("_least"))
@@ -194,40 +175,45 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, label) of nodes whose component has a smaller node."""
+    """(u, label) of the nodes that are linked: label is the same for all nodes of a component, and one of them.
+
+    Tables that meet in a join are written before, or shuffled for that join alone, so that adaptive execution can
+    split the rows of a hot key. A component label that nodes share says that links connect them (not that all that
+    links connect share it): it only saves comparisons. What it leaves open is joined up at the end.
+    """
     keys = rows.select("_c", "_sig").mapInArrow(_keys, "_key bigint, _c bigint")
-    shared = checkpoint(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
-    n_keys = max(1, rows.count() * len(_MASKS))
-    hot = shared.where(F.col("_size") * HOT_SHARE > n_keys)
-    cold = shared.where(F.col("_size") * HOT_SHARE <= n_keys)
-    members = keys.join(F.broadcast(hot), "_key").unionByName(keys.join(cold, "_key"))
-    members = checkpoint(members.select("_key", "_c"))
-    n_members = members.count()
-    source = checkpoint(_sets_of(source, rows, members, n))
-    sigs = checkpoint(rows.join(members.select("_c").distinct(), "_c").select("_c", "_sig"))
-    links, labels = None, None
+    shared = checkpoint(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"))
+    state = checkpoint(keys.join(shared, "_key").select("_key", "_c", F.col("_c").alias("_comp")))
+    sets = checkpoint(_sets_of(source, rows, state, n))
+    links = None
     for turn in range(STAR_ROUNDS + 1):
-        state = members.withColumn("_comp", F.col("_c")) if labels is None else members.join(labels.withColumnRenamed("u", "_c"), "_c", "left").select("_key", "_c", F.coalesce("label", "_c").alias("_comp"))
-        state = checkpoint(state)
-        by_key = state.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.min_by(F.struct("_c", "_comp"), F.xxhash64("_c", F.lit(turn))).alias("_pivot"))
-        by_key = checkpoint(by_key.where("_low != _high").select("_key", "_size", "_pivot"))
-        if by_key.isEmpty():
+        pivot = F.min_by(F.struct("_c", "_comp"), F.xxhash64("_c", F.lit(turn)))
+        open_keys = checkpoint(state.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), pivot.alias("_pivot")).where("_low != _high").select("_key", "_size", "_pivot"))
+        if open_keys.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            pairs = skew_safe_join(state, by_key, "_key", "_size", n_members).where("_pivot._comp != _comp")
-            pairs = pairs.groupBy("_c").agg(F.min("_pivot._c").alias("v")).select(F.col("_c").alias("u"), "v")
-            pairs = _attach(_attach(pairs, "u", "v", sigs, "_sig"), "v", "u", sigs, "_sig").where(_distance(F.col("_sig_u"), F.col("_sig_v")) <= DISTANCE).select("u", "v")
+            pairs = state.join(open_keys, "_key").where("_pivot._comp != _comp").groupBy("_c").agg(F.min("_comp").alias("a"), F.min("_pivot").alias("_p"))
+            pairs = pairs.select(F.col("_c").alias("u"), F.col("_p._c").alias("v"), "a", F.col("_p._comp").alias("b"))
         else:
-            pairs = _all_pairs(state, by_key, sigs, n_members)
-        found = checkpoint(_confirm(checkpoint(pairs), source, percent))
+            pairs = _all_pairs(state, open_keys, rows)
+        found = checkpoint(_confirm(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    return labels if labels is not None else rows.select(F.col("_c").alias("u"), F.col("_c").alias("label")).limit(0)
-
-
-def _sets_of(source: DataFrame, rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
+        if turn < STAR_ROUNDS:
+            hook = checkpoint(found.groupBy(F.greatest("a", "b").alias("_comp")).agg(F.min(F.least("a", "b")).alias("_to")))
+            for _ in range(2):
+                state = state.join(hook, "_comp", "left").select("_key", "_c", F.coalesce("_to", "_comp").alias("_comp"))
+            state = checkpoint(state)
+    if links is None:
+        return rows.select(F.col("_c").alias("u"), F.col("_c").alias("label")).limit(0)
+    nodes = checkpoint(state.select("_c", "_comp").distinct())
+    of = lambda end, out: nodes.select(F.col("_c").alias(end), F.col("_comp").alias(out))
+    rest = links.select("u", "v").join(of("u", "a"), "u").join(of("v", "b"), "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return nodes.join(components(rest).withColumnRenamed("u", "_comp"), "_comp", "left").select(F.col("_c").alias("u"), F.coalesce("label", "_comp").alias("label"))
+
+
+def _sets_of(source: DataFrame, rows: DataFrame, state: DataFrame, n: int) -> DataFrame:
     """(_c, _shingles) of the nodes that share a bucket, from the text of each node's first row."""
-    wanted = checkpoint(rows.join(members.select("_c").distinct(), "_c").select("_rep").distinct())
+    wanted = checkpoint(rows.join(state.select("_c").distinct(), "_c").select("_rep").distinct())
     few = wanted.count() <= BROADCAST_NODES
     texts = source.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_id", "_text")
     sets = texts.mapInArrow(_set_rows(n), "_set binary, _shingles array<bigint>")
@@ -235,31 +221,35 @@ def _sets_of(source: DataFrame, rows: DataFrame, members: DataFrame, n: int) ->
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = _attach(_attach(pairs, "u", "v", sets, "_shingles"), "v", "u", sets, "_shingles")
-    both = both.select("u", "v", F.size(F.array_intersect("_shingles_u", "_shingles_v")).cast("long").alias("_i"), (F.size("_shingles_u") + F.size("_shingles_v")).cast("long").alias("_t"))
-    return both.where(100 * F.col("_i") >= percent * (F.col("_t") - F.col("_i"))).select("u", "v")
+    """Those of the pairs (u, v, and their components a, b) whose full sets are similar enough."""
+    of = lambda end: sets.select(F.col("_c").alias(end), F.col("_shingles").alias(f"_{end}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    both = both.select("u", "v", "a", "b", F.size(F.array_intersect("_u", "_v")).cast("long").alias("_i"), (F.size("_u") + F.size("_v")).cast("long").alias("_t"))
+    return both.where(100 * F.col("_i") >= percent * (F.col("_t") - F.col("_i"))).select("u", "v", "a", "b")
 
 
-def _all_pairs(state: DataFrame, by_key: DataFrame, sigs: DataFrame, n_members: int) -> DataFrame:
+def _all_pairs(state: DataFrame, open_keys: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs of different components within DISTANCE, of every bucket left, by cells of BLOCK x BLOCK rows."""
-    left = checkpoint(skew_safe_join(state, by_key.select("_key", "_size"), "_key", "_size", n_members).where("_size is not null"))
+    left = checkpoint(state.join(open_keys.select("_key"), "_key"))
     # The largest component of a bucket isn't compared with itself: its rows only face the others'.
     comps = left.groupBy("_key", "_comp").agg(F.count(F.lit(1)).alias("_m"))
     top = checkpoint(comps.groupBy("_key").agg(F.max(F.struct("_m", "_comp")).alias("_top"), F.sum("_m").alias("_size")))
-    left = skew_safe_join(left.drop("_size"), top, "_key", "_size", n_members)
+    left = left.join(top, "_key")
     left = left.select("_key", "_c", "_comp", (F.col("_comp") == F.col("_top._comp")).alias("_major"), F.ceil(F.col("_top._m") / BLOCK).cast("int").alias("_x"), F.greatest(F.ceil((F.col("_size") - F.col("_top._m")) / BLOCK), F.lit(1)).cast("int").alias("_y"))
-    left = checkpoint(left.join(sigs, "_c"))
     h = F.xxhash64("_c", F.lit("b"))
-    row = F.struct("_c", "_comp", "_sig")
     block = F.when(F.col("_major"), F.pmod(h, F.col("_x"))).otherwise(F.pmod(h, F.col("_y"))).cast("int")
-    cells = left.select("_key", "_major", row.alias("_row"), block.alias("_block"), "_x", "_y")
-    minor, major = cells.where("not _major"), cells.where("_major")
     # Columns of cells: 0.._x-1 hold blocks of the largest component, _x.._x+_y-1 blocks of the others.
-    a = minor.select("_key", F.col("_block").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_x") + F.col("_y") - 1)).alias("_j"), "_row", F.lit(0).alias("_side"))
-    b = major.select("_key", F.explode(F.sequence(F.lit(0), F.col("_y") - 1)).alias("_i"), F.col("_block").alias("_j"), "_row", F.lit(1).alias("_side"))
-    c = minor.select("_key", F.explode(F.sequence(F.lit(0), F.col("_y") - 1)).alias("_i"), (F.col("_x") + F.col("_block")).alias("_j"), "_row", F.lit(1).alias("_side"))
-    cell = a.unionByName(b).unionByName(c).groupBy("_key", "_i", "_j").agg(F.collect_list(F.when(F.col("_side") == 0, F.col("_row"))).alias("_a"), F.collect_list(F.when(F.col("_side") == 1, F.col("_row"))).alias("_b"))
-    return cell.where("size(_a) > 0 and size(_b) > 0").select("_a", "_b").mapInArrow(_block_pairs, "u bigint, v bigint").distinct()
+    along = F.when(F.col("_major"), F.transform(F.sequence(F.lit(0), F.col("_y") - 1), lambda i: F.struct(i.alias("_i"), F.col("_block").alias("_j"), F.lit(1).alias("_side")))).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("_x") + F.col("_y") - 1), lambda j: F.struct(F.col("_block").alias("_i"), j.alias("_j"), F.lit(0).alias("_side"))),
+            F.transform(F.sequence(F.lit(0), F.col("_y") - 1), lambda i: F.struct(i.alias("_i"), (F.col("_x") + F.col("_block")).alias("_j"), F.lit(1).alias("_side"))),
+        )
+    )
+    left = left.withColumn("_block", block).join(rows.select("_c", "_sig"), "_c")
+    cells = left.select("_key", F.struct("_c", "_comp", "_sig").alias("_row"), F.explode(along).alias("_cell"))
+    side = lambda k: F.collect_list(F.when(F.col("_cell._side") == k, F.col("_row")))
+    cell = cells.groupBy("_key", "_cell._i", "_cell._j").agg(side(0).alias("_a"), side(1).alias("_b"))
+    return cell.where("size(_a) > 0 and size(_b) > 0").select("_a", "_b").mapInArrow(_block_pairs, "u bigint, v bigint, a bigint, b bigint").distinct()
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
