@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import repeat
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,30 +17,52 @@ from papyra.llm.quality import score_documents
 SAMPLE = 12000
 THRESHOLD = 0.5
 #: Weight of the Dirichlet prior in documents, the z-score from which a token counts as toxic, and the drift of others.
-PRIOR, Z, DRIFT = 50.0, 3.0, -0.25
+PRIOR, Z, DRIFT = 50.0, 5.0, -0.25
 #: E-value up to which a segment is significant.
 SIGNIFICANT = 0.5
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-#: Bytes of a word's stem, which stands for words too rare to be judged by themselves.
-STEM = 6
+#: Bytes of the prefixes that stand for words too rare to be judged by themselves.
+STEMS = (4, 5, 6, 7)
+#: Words whose log-odds a worker remembers.
+MEMO_WORDS = 1_000_000
 
 
 def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
-def stems(words: list[bytes]) -> list[bytes]:
-    """A stem of each word; it can't equal a word, as it ends in a space."""
-    return [w[:STEM] + b" " for w in words]
+def stems(words: Iterable[bytes]) -> Iterable[bytes]:
+    """The prefixes of each word, in turn; they can't equal a word, as they end in a space and their length."""
+    for k in STEMS:
+        end = b" %d" % k
+        yield from [w[:k] + end for w in words]
+
+
+class Odds(dict):
+    """Log-odds of words: the largest of the word's own and its prefixes', 0 if none counts as toxic."""
+
+    def __init__(self, known: dict[bytes, float]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        get = self.known.get
+        out = self[word] = max(get(word, 0.0), *(get(s, 0.0) for s in stems([word])))
+        return out
+
+    def __reduce__(self):
+        return Odds, (self.known,)
 
 
 def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[bytes, float]:
     """Log-odds of a token's document frequency in toxic against clean documents, with a Dirichlet prior from both.
 
-    Kept: tokens significantly toxic (positive) and those significantly clean (negative). The rest get the drift.
+    Kept: tokens that are significantly toxic. The rest get the drift.
     """
     out = {}
     total = n_toxic + n_clean
@@ -88,8 +110,7 @@ def decay(share: np.ndarray, scores: np.ndarray, drift: float) -> float:
 def passages(model: dict, text: str) -> tuple[int, list[tuple[int, int, float]]]:
     """(tokens, maximal segments) of a text."""
     words = tokens(text)
-    odds = np.fromiter(map(model["odds"].get, words, repeat(0.0)), float, len(words))
-    np.maximum(odds, np.fromiter(map(model["odds"].get, stems(words), repeat(0.0)), float, len(words)), out=odds)
+    odds = np.fromiter(map(model["odds"].__getitem__, words), float, len(words))
     at = np.flatnonzero(odds)
     return len(words), segments(at, odds[at], DRIFT) if len(at) else []
 
@@ -109,14 +130,20 @@ def fit(texts: list[str], y: list[int]) -> dict:
     toxic, clean, all_clean, n_words = Counter(), Counter(), Counter(), 0
     for text, label in zip(texts, y, strict=True):
         words = tokens(text)
-        (toxic if label else clean).update({*words, *stems(words)})
+        once = set(words)
+        once.update(set(stems(once)))
+        (toxic if label else clean).update(once)
         if not label:
             all_clean.update(words)
-            all_clean.update(stems(words))
             n_words += len(words)
     odds = log_odds(toxic, clean, sum(y), len(y) - sum(y))
-    share = np.array([(all_clean.get(w, 0) + 0.5) / (n_words + 1) for w in odds])
-    model = {"odds": odds, "lambda": decay(share, np.array(list(odds.values())), DRIFT) if odds else 1.0, "k": 1.0}
+    model = {"odds": Odds(odds), "k": 1.0}
+    # What share of clean words has each of the scores that occur.
+    held: Counter = Counter()
+    for w, n in all_clean.items():
+        held[model["odds"][w]] += n
+    scores = np.array([s for s in held if s > 0])
+    model["lambda"] = decay(np.array([held[s] + 0.5 for s in scores.tolist()]) / (n_words + 1), scores, DRIFT) if len(scores) else 1.0
     # P(best segment <= x) = exp(-K n exp(-lambda x)) over clean documents gives K by maximum likelihood.
     best = [(n, max((s for _, _, s in found), default=0.0)) for n, found in (passages(model, t) for t, label in zip(texts, y, strict=True) if not label) if n]
     model["k"] = float(np.clip(len(best) / max(sum(n * math.exp(-model["lambda"] * s) for n, s in best), 1e-9), 1e-6, 10)) if best else 1.0
