@@ -101,12 +101,15 @@ def _push(draft: Draft, field: str, value: Any) -> None:
         draft.put(field, F.concat(column, F.array(as_kind(item, element).cast(element))))
 
 
+def _holds(column: Column, value: Column) -> Column:
+    return F.exists(column, lambda x: x.eqNullSafe(value))
+
+
 def _add_to_set(draft: Draft, field: str, value: Any) -> None:
     for item in _items(value):
         column, element = _array(draft, field, item)
         new = as_kind(item, element).cast(element)
-        held = F.exists(column, lambda x, new=new: x.eqNullSafe(new))
-        draft.put(field, F.when(held, column).otherwise(F.concat(column, F.array(new))))
+        draft.put(field, F.when(_holds(column, new), column).otherwise(F.concat(column, F.array(new))))
 
 
 def _pull(draft: Draft, field: str, value: Any) -> None:

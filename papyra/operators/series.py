@@ -98,7 +98,7 @@ def densify(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
     if not isinstance(kind, (T.IntegralType, T.TimestampType, T.TimestampNTZType, T.DateType)):
         # Not by repeated addition: each point is low + i * step.
         checked = F.transform(F.sequence(F.lit(0), F.floor((F.col("_high") - F.col("_low")) / F.lit(step)).cast("int")), lambda i: F.col("_low") + i * F.lit(step))
-    grid = ends.where("_low is not null").select(*keys, F.explode(checked).cast(kind).alias(field))
+    grid = ends.where("_low is not null").select(*keys, F.explode(checked).alias("_point")).withColumn("_point", F.col("_point").cast(kind)).withColumnRenamed("_point", field)
     have = df.select(*keys, name(field)).distinct()
     on = None
     a, b = grid.alias("a"), have.alias("b")

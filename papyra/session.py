@@ -16,7 +16,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir; where that is unset, to a temporary one (local master) or the warehouse."""
+    """Write df to the folder of spark.checkpoint.dir; where that is unset, to a temporary one (local master) or the warehouse.
+
+    The frame is made anew from the checkpoint's rows, since a checkpoint keeps its plan's size estimate, and over rounds
+    of joins (each multiplies the estimates of its sides) that grows to numbers with which the planner never ends.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -25,4 +29,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
             alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
             named = tempfile.mkdtemp(prefix="papyra-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
