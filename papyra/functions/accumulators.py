@@ -92,7 +92,7 @@ def compile_accumulator(spec: Mapping[str, Any], scope: Scope, order: Order | No
         kind = scope.type_of(value)
         if isinstance(kind, T.MapType):
             held = pushed(F.coalesce(value, F.create_map().cast(kind)), order, scope)
-            return F.aggregate(held, F.create_map().cast(kind), lambda a, b: F.map_concat(a, b))
+            return F.aggregate(held, F.create_map().cast(kind), lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
         key = ascending(order, scope) if order else None
         last = (lambda c: F.max_by(c, F.when(c.isNotNull(), key))) if key is not None else (lambda c: F.last(c, ignorenulls=True))
         return F.struct(*(last(value[f.name]).alias(f.name) for f in kind.fields))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.functions.paths import Scope
@@ -21,6 +22,8 @@ STAGES: dict[str, Callable[[DataFrame, Any, "Context"], DataFrame]] = {
 }
 #: Stages that keep the order of a $sort before them.
 _ORDERLY = {"$match", "$project", "$addFields", "$set", "$unset", "$limit", "$skip", "$sort", "$redact", "$changeStream"}
+#: Stages that keep all rows but not their order; it is made again.
+_DEALT = {"$lookup", "$graphLookup", "$setWindowFields"}
 
 
 class Context:
@@ -78,6 +81,19 @@ def _summary(lookup: Mapping, project: Mapping) -> dict[str, str | None] | None:
     return wanted or None
 
 
+def _in_order(df: DataFrame, order: list[tuple[str, int]] | None, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage that joins or deals rows anew, and the order of a $sort before it again after it."""
+    if not order:
+        return stage(df)
+    scope = Scope(df)
+    kept = {f"_order{i}": scope.path(k) for i, (k, _) in enumerate(order)}
+    if "_id" in df.columns and "_id" not in dict(order) and not isinstance(df.schema["_id"].dataType, (T.MapType, T.VariantType)):
+        kept[f"_order{len(order)}"] = scope.path("_id")
+    ways = [*(way for _, way in order), 1]
+    out = stage(df.withColumns(kept))
+    return out.orderBy(*(F.col(k).asc_nulls_first() if way == 1 else F.col(k).desc_nulls_last() for k, way in zip(kept, ways, strict=False))).drop(*kept)
+
+
 def compile_pipeline(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], ctx: Context) -> DataFrame:
     stages = check(pipeline)
     i = 0
@@ -87,18 +103,19 @@ def compile_pipeline(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], ctx:
         if op == "$lookup" and following[0] == "$unwind":
             options = {"path": following[1]} if isinstance(following[1], str) else following[1]
             if options["path"].removeprefix("$") == spec["as"] and not options.get("includeArrayIndex"):
-                df, ctx.order = r.lookup_unwind(df, spec, ctx, bool(options.get("preserveNullAndEmptyArrays"))), None
+                keep = bool(options.get("preserveNullAndEmptyArrays"))
+                df = _in_order(df, ctx.order, lambda d: r.lookup_unwind(d, spec, ctx, keep))
                 i += 2
                 continue
         if op == "$lookup" and following[0] == "$project" and (wanted := _summary(spec, following[1])) and not set(wanted) & set(df.columns):
-            df = r.lookup_summary(df, spec, wanted, ctx)
-            df, ctx.order = r.project(df, {k: 1 if k in wanted else v for k, v in following[1].items()}, ctx), None
+            df = _in_order(df, ctx.order, lambda d: r.lookup_summary(d, spec, wanted, ctx))
+            df = r.project(df, {k: 1 if k in wanted else v for k, v in following[1].items()}, ctx)
             i += 2
             continue
-        df = STAGES[op](df, spec, ctx)
+        df = _in_order(df, ctx.order, lambda d: STAGES[op](d, spec, ctx)) if op in _DEALT else STAGES[op](df, spec, ctx)
         if op == "$sort":
             ctx.order = list(spec.items())
-        elif op not in _ORDERLY:
+        elif op not in _ORDERLY and op not in _DEALT:
             ctx.order = None
         i += 1
     return df

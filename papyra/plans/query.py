@@ -377,8 +377,15 @@ class Query:
             df = df.withColumn(path, F.slice(name(path), start, spec[1]))
         if self._model is not None and self._model.schema is not None:
             df = self._model.schema.with_virtuals(df)
-        for spec in self._populate:
-            df = self._model.populated(df, spec)
+        if self._populate:
+            scope, order = Scope(df), self._order
+            df = df.withColumns({f"_order{i}": scope.path(k) for i, k in enumerate(order)}) if order else df
+            for spec in self._populate:
+                df = self._model.populated(df, spec)
+            # Joins lose the order.
+            if order:
+                keys = [F.col(f"_order{i}").asc_nulls_first() if way == 1 else F.col(f"_order{i}").desc_nulls_last() for i, way in enumerate(order.values())]
+                df = df.orderBy(*keys, name("_id").asc_nulls_first()).drop(*(f"_order{i}" for i in range(len(order))))
         return self._narrow(df)
 
     def _narrow(self, df: DataFrame) -> DataFrame:
