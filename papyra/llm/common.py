@@ -64,9 +64,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that it survives lost executors; cuts the lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared folder, so that it survives lost executors; cuts the lineage.
+
+    A checkpoint inherits the estimated size of its plan. Joins multiply such estimates, so over rounds of joins they
+    become numbers of millions of digits, with which the planner never ends. Made anew from the checkpoint's rows, the
+    frame starts from the default estimate.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -85,11 +92,21 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like name that isn't taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
-    """docs but the rows whose key is in dropped (column _dropped); texts move only if more than BROADCAST_IDS rows go."""
+    """docs but the rows whose key is in dropped (column _dropped); texts move only if more than BROADCAST_IDS rows go.
+
+    Rows that repeat both id and text stay or go together.
+    """
     dropped = checkpoint(dropped.select(F.xxhash64("_dropped.id", "_dropped.hash", F.lit("k")).alias("_dropped")).distinct())
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, F.xxhash64(key["id"], key["hash"], F.lit("k")) == F.col("_dropped"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, F.xxhash64(key["id"], key["hash"], F.lit("k")) == dropped["_dropped"], "left_anti")
 
 
 def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:

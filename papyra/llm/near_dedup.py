@@ -18,8 +18,11 @@ from papyra.llm.components import components
 K, DISTANCE, CHUNKS = 64, 25, 13
 #: Rounds in which each unresolved node is held against one pivot of its buckets, before all that is left is compared.
 STAR_ROUNDS = 3
-#: Rows of a bucket that are compared with each other in one task; larger buckets are dealt to several by blocks.
-BLOCK = 1024
+#: Chunks whose buckets are compared together after that. Few at first: what they connect needn't be compared again.
+CHUNK_TURNS = ((0,), (1, 2), (3, 4, 5, 6), tuple(range(7, CHUNKS)))
+#: Nodes, and shingles of nodes, of a bucket that are compared with each other in one task; larger buckets are dealt to
+#: several by blocks. Columns of the matrices they are compared by.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1_000_000, 4096
 #: Most nodes by which the texts are filtered with a broadcast (16 bytes each); beyond, that join shuffles.
 BROADCAST_NODES = 1_000_000
 
@@ -68,17 +71,22 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (_mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
-def _masks() -> list[tuple[int, np.ndarray]]:
-    """(number, kept symbols): each chunk with each way to leave out the DISTANCE // CHUNKS symbols that may differ.
+_SYMBOLS = np.array_split(np.arange(K), CHUNKS)
+#: The last bits of a key: its chunk, and before that its mask's number in the chunk.
+_CHUNK_BITS, _MASK_BITS = 4, 3
+
+
+def _masks() -> list[tuple[int, int, int, np.ndarray]]:
+    """(number, chunk, number in the chunk, kept symbols): each chunk with each way to leave out DISTANCE // CHUNKS symbols.
 
     Of CHUNKS chunks, one has at most DISTANCE // CHUNKS = 1 errors (pigeonhole); leaving each of its symbols out in
     turn enumerates them, so two signatures within DISTANCE share at least one key.
     """
-    assert DISTANCE // CHUNKS == 1
+    assert DISTANCE // CHUNKS == 1 and CHUNKS <= 1 << _CHUNK_BITS and max(map(len, _SYMBOLS)) <= 1 << _MASK_BITS
     out = []
-    for chunk in np.array_split(np.arange(K), CHUNKS):
-        out += [np.delete(chunk, i) for i in range(len(chunk))]
-    return list(enumerate(out))
+    for at, chunk in enumerate(_SYMBOLS):
+        out += [(at, i, np.delete(chunk, i)) for i in range(len(chunk))]
+    return [(i, *mask) for i, mask in enumerate(out)]
 
 
 _MASKS = _masks()
@@ -105,11 +113,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = part.column(0).to_numpy()
             sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, K).astype(np.uint64)
             keys = np.empty((len(nodes), len(_MASKS)), np.uint64)
-            for i, kept in _MASKS:
+            for i, chunk, place, kept in _MASKS:
                 h = np.full(len(nodes), i + 1, np.uint64)
                 for j in kept:
                     h = _mix(h * _PRIME + sig[:, j])
-                keys[:, i] = h
+                keys[:, i] = h >> np.uint64(_CHUNK_BITS + _MASK_BITS) << np.uint64(_CHUNK_BITS + _MASK_BITS) | np.uint64(place << _CHUNK_BITS | chunk)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, len(_MASKS)))], ["_key", "_c"])
 
 
@@ -125,19 +133,114 @@ def _set_rows(n: int):
     return run
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row (one cell of a bucket: lists a and b of nodes, components and signatures) the pairs within DISTANCE."""
-    for batch in batches:
-        found = []
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = ((np.array([r["_c"] for r in side], np.int64), np.array([r["_comp"] for r in side], np.int64), np.frombuffer(b"".join(r["_sig"] for r in side), np.uint16).reshape(-1, K)) for side in (left, right))
-            for i in range(len(x[0])):
-                ok = np.flatnonzero((x[1][i] != y[1]) & ((x[2][i] != y[2]).sum(axis=1) <= DISTANCE))
-                if len(ok):
-                    u, v, a, b = np.full(len(ok), x[0][i]), y[0][ok], np.full(len(ok), x[1][i]), y[1][ok]
-                    found.append(np.where(u > v, [u, v, a, b], [v, u, b, a]))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["u", "v", "a", "b"])
+def _matches(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a are similar enough to which of b: sizes of all intersections by products of 0/1 matrices."""
+    na, nb = (np.array([len(s) for s in side]) for side in (a, b))
+    common = np.intersect1d(*(np.unique(np.concatenate(side)) for side in (a, b)), assume_unique=True)
+
+    def cells(side: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate(side)
+        at = np.minimum(np.searchsorted(common, every), max(len(common) - 1, 0))
+        hit = common[at] == every if len(common) else np.zeros(len(every), bool)
+        return np.repeat(np.arange(len(n)), n)[hit], at[hit]
+
+    (ra, ca), (rb, cb) = cells(a, na), cells(b, nb)
+    shared = np.zeros((len(a), len(b)), np.float32)  # whole numbers below 2**24 are exact
+    for low in range(0, len(common), COLUMNS):
+        parts = []
+        for rows, columns, n in ((ra, ca, len(a)), (rb, cb, len(b))):
+            own = (columns >= low) & (columns < low + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(common) - low)), np.float32)
+            m[rows[own], columns[own] - low] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[1].T
+    shared = shared.astype(np.int64)
+    return 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
+
+
+def cell_links(comp_a: np.ndarray, sets_a: list[np.ndarray], comp_b: np.ndarray, sets_b: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(component, smallest component that links of this cell connect it with), for those that aren't that one."""
+    ok = _matches(sets_a, sets_b, percent)
+    labels, back = np.unique(np.concatenate([comp_a, comp_b]), return_inverse=True)
+    ia, ib = back[: len(comp_a)], back[len(comp_a) :]
+    least = np.arange(len(labels))
+    none = len(labels)
+    while True:
+        was = least.copy()
+        np.minimum.at(least, ia, np.where(ok, least[ib][None, :], none).min(axis=1, initial=none))
+        np.minimum.at(least, ib, np.where(ok, least[ia][:, None], none).min(axis=0, initial=none))
+        least = least[least]
+        if (was == least).all():
+            return [(int(labels[i]), int(labels[j])) for i, j in enumerate(least) if i != j]
+
+
+def _by_cell(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, tuple[list, ...], tuple[list, ...]]]:
+    """(cell, columns of side 0, columns of side 1) of rows that come sorted by cell (_key, _i, _j), then _side, then columns."""
+    cell, sides = None, ()
+    for batch in rows:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        side = batch.column(3).to_pylist()
+        values = [batch.column(4 + k) if pa.types.is_list(batch.column(4 + k).type) else batch.column(4 + k).to_pylist() for k in range(columns)]
+        for i, key in enumerate(keys):
+            if key != cell:
+                if cell is not None and sides[0][0] and sides[1][0]:
+                    yield cell, *sides
+                cell, sides = key, tuple(tuple([] for _ in range(columns)) for _ in range(2))
+            for held, value in zip(sides[side[i]], values, strict=True):
+                x = value[i]
+                held.append(x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) else x)
+    if cell is not None and sides[0][0] and sides[1][0]:
+        yield cell, *sides
+
+
+def first_met(key: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of signatures that share the key, those that share no key of an earlier mask, so that each pair is tested once."""
+    chunk, place = key & (1 << _CHUNK_BITS) - 1, key >> _CHUNK_BITS & (1 << _MASK_BITS) - 1
+    left = np.arange(len(a))
+    for symbols in _SYMBOLS[:chunk]:
+        left = left[(a[left][:, symbols] != b[left][:, symbols]).sum(axis=1) > 1]
+    if place:  # with no error in the chunk a pair shares its first mask; with one, only the mask that leaves it out
+        left = left[(a[left][:, _SYMBOLS[chunk]] != b[left][:, _SYMBOLS[chunk]]).any(axis=1)]
+    return left
+
+
+def _candidates(percent: int):
+    """Of cells of (_comp, _m, _sig, _c), the nodes that have a pair to test: in different components, of sizes that may do, within DISTANCE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, i, j), one, two in _by_cell(batches, 4):
+            ca, cb = np.array(one[0]), np.array(two[0])
+            ma, mb = np.array(one[1]), np.array(two[1])
+            sa, sb = (np.frombuffer(b"".join(side[2]), np.uint16).reshape(-1, K) for side in (one, two))
+            keep_a, keep_b = np.zeros(len(ca), bool), np.zeros(len(cb), bool)
+            step = max(1, (1 << 17) // len(cb))
+            for low in range(0, len(ca), step):
+                part = slice(low, low + step)
+                ok = (ca[part, None] != cb) & (100 * np.minimum(ma[part, None], mb) >= percent * np.maximum(ma[part, None], mb))
+                x, y = np.nonzero(ok)
+                x += low
+                near = (sa[x] != sb[y]).sum(axis=1) <= DISTANCE
+                x, y = x[near], y[near]
+                own = first_met(key, sa[x], sb[y])
+                keep_a[x[own]] = keep_b[y[own]] = True
+            for side, (rows, keep) in enumerate(((one, keep_a), (two, keep_b))):
+                at = np.flatnonzero(keep)
+                if len(at):
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, j, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array((ca, cb)[side][at]), pa.array([rows[3][k] for k in at], pa.int64())], ["_key", "_i", "_j", "_side", "_comp", "_c"])
+
+    return run
+
+
+def _links(percent: int):
+    """The links of each cell of (_comp, _shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (ca, sa), (cb, sb) in _by_cell(batches, 2):
+            if found := cell_links(np.array(ca), sa, np.array(cb), sb, percent):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -152,8 +255,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     Equal sets become one node. Nodes in a common bucket of the multi-index are candidates. Within buckets that hold
     several components, nodes are first held against one pivot each (STAR_ROUNDS times), then whatever still differs
-    in component is compared block by block: no link between different components goes untested, and nothing is
-    emitted for pairs that are connected already. percent below 80 needs a larger DISTANCE.
+    in component is compared on full sets, block by block: no link between different components goes untested, and
+    a block emits at most one row for each of its components. percent below 80 needs a larger DISTANCE.
     """
     if percent < 80:
         raise ValueError("signatures are sized for a similarity of 0.8 or more")
@@ -161,7 +264,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
     prints = checkpoint(source.mapInArrow(_fingerprints(n), f"_id {kind}, _n bigint, _set binary, _sig binary").withColumn("_c", F.xxhash64("_set")))
-    rows = checkpoint(prints.groupBy("_c").agg(F.min("_id").alias("_rep"), F.first("_set").alias("_set"), F.first("_sig").alias("_sig")).where("_set is not null"))
+    rows = checkpoint(prints.groupBy("_c").agg(F.min("_id").alias("_rep"), F.first("_set").alias("_set"), F.first("_sig").alias("_sig"), F.first("_n").alias("_m")).where("_set is not null"))
     labels = _label(source, rows, n, percent)
     node = checkpoint(rows.select("_c", "_rep").join(labels, F.col("_c") == F.col("u"), "left").select("_c", "_rep", F.coalesce("label", "_c").alias("_label")))
     # A component's smallest id is a partial aggregate; the joins that bring it back split hot components and copies.
@@ -186,36 +289,48 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
     state = checkpoint(keys.join(shared, "_key").select("_key", "_c", F.col("_c").alias("_comp")))
     sets = checkpoint(_sets_of(source, rows, state, n))
     links = None
-    for turn in range(STAR_ROUNDS + 1):
+
+    def open_keys(state: DataFrame, chunks: tuple[int, ...] = (), turn: int = 0) -> DataFrame:
+        """Keys whose bucket holds several components."""
+        own = state.where(F.col("_key").bitwiseAND(F.lit((1 << _CHUNK_BITS) - 1)).isin(*chunks)) if chunks else state
         pivot = F.min_by(F.struct("_c", "_comp"), F.xxhash64("_c", F.lit(turn)))
-        open_keys = checkpoint(state.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), pivot.alias("_pivot")).where("_low != _high").select("_key", "_size", "_pivot"))
-        if open_keys.isEmpty():
+        return checkpoint(own.groupBy("_key").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), pivot.alias("_pivot")).where("_low != _high").select("_key", "_pivot"))
+
+    def hooked(state: DataFrame, found: DataFrame) -> DataFrame:
+        hook = checkpoint(found.groupBy(F.greatest("a", "b").alias("_comp")).agg(F.min(F.least("a", "b")).alias("_to")))
+        for _ in range(2):
+            state = state.join(hook, "_comp", "left").select("_key", "_c", F.coalesce("_to", "_comp").alias("_comp"))
+        return checkpoint(state)
+
+    for turn in range(STAR_ROUNDS):
+        keys_left = open_keys(state, turn=turn)
+        if keys_left.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            pairs = state.join(open_keys, "_key").where("_pivot._comp != _comp").groupBy("_c").agg(F.min("_comp").alias("a"), F.min("_pivot").alias("_p"))
-            pairs = pairs.select(F.col("_c").alias("u"), F.col("_p._c").alias("v"), "a", F.col("_p._comp").alias("b"))
-        else:
-            pairs = _all_pairs(state, open_keys, rows)
-        found = checkpoint(_confirm(pairs, sets, percent))
+        pairs = state.join(keys_left, "_key").where("_pivot._comp != _comp").groupBy("_c").agg(F.min("_comp").alias("a"), F.min("_pivot").alias("_p"))
+        pairs = pairs.select(F.col("_c").alias("u"), F.col("_p._c").alias("v"), "a", F.col("_p._comp").alias("b"))
+        found = checkpoint(_confirm(pairs, sets, percent).select("a", "b"))
+        links = found if links is None else links.unionByName(found)
+        state = hooked(state, found)
+    for chunks in CHUNK_TURNS:
+        keys_left = open_keys(state, chunks)
+        if keys_left.isEmpty():
+            continue
+        found = checkpoint(_cells(state, keys_left, rows, sets, percent).mapInArrow(_links(percent), "a bigint, b bigint").distinct())
         links = found if links is None else links.unionByName(found)
-        if turn < STAR_ROUNDS:
-            hook = checkpoint(found.groupBy(F.greatest("a", "b").alias("_comp")).agg(F.min(F.least("a", "b")).alias("_to")))
-            for _ in range(2):
-                state = state.join(hook, "_comp", "left").select("_key", "_c", F.coalesce("_to", "_comp").alias("_comp"))
-            state = checkpoint(state)
+        state = hooked(state, found)
     if links is None:
         return rows.select(F.col("_c").alias("u"), F.col("_c").alias("label")).limit(0)
     nodes = checkpoint(state.select("_c", "_comp").distinct())
+    # A component is named by one of its nodes, so links between components are links between nodes.
     of = lambda end, out: nodes.select(F.col("_c").alias(end), F.col("_comp").alias(out))
-    rest = links.select("u", "v").join(of("u", "a"), "u").join(of("v", "b"), "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = links.join(of("a", "u"), "a").join(of("b", "v"), "b").where("u != v").select("u", "v")
     return nodes.join(components(rest).withColumnRenamed("u", "_comp"), "_comp", "left").select(F.col("_c").alias("u"), F.coalesce("label", "_comp").alias("label"))
 
 
 def _sets_of(source: DataFrame, rows: DataFrame, state: DataFrame, n: int) -> DataFrame:
     """(_c, _shingles) of the nodes that share a bucket, from the text of each node's first row."""
     wanted = checkpoint(rows.join(state.select("_c").distinct(), "_c").select("_rep").distinct())
-    few = wanted.count() <= BROADCAST_NODES
-    texts = source.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_id", "_text")
+    texts = source.join(_few(wanted), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_id", "_text")
     sets = texts.mapInArrow(_set_rows(n), "_set binary, _shingles array<bigint>")
     return sets.where("_set is not null").select(F.xxhash64("_set").alias("_c"), "_shingles").dropDuplicates(["_c"])
 
@@ -228,28 +343,49 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("_i") >= percent * (F.col("_t") - F.col("_i"))).select("u", "v", "a", "b")
 
 
-def _all_pairs(state: DataFrame, open_keys: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of different components within DISTANCE, of every bucket left, by cells of BLOCK x BLOCK rows."""
-    left = checkpoint(state.join(open_keys.select("_key"), "_key"))
-    # The largest component of a bucket isn't compared with itself: its rows only face the others'.
-    comps = left.groupBy("_key", "_comp").agg(F.count(F.lit(1)).alias("_m"))
-    top = checkpoint(comps.groupBy("_key").agg(F.max(F.struct("_m", "_comp")).alias("_top"), F.sum("_m").alias("_size")))
-    left = left.join(top, "_key")
-    left = left.select("_key", "_c", "_comp", (F.col("_comp") == F.col("_top._comp")).alias("_major"), F.ceil(F.col("_top._m") / BLOCK).cast("int").alias("_x"), F.greatest(F.ceil((F.col("_size") - F.col("_top._m")) / BLOCK), F.lit(1)).cast("int").alias("_y"))
+def _sorted(cells: DataFrame) -> DataFrame:
+    return cells.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
+
+
+def _cells(state: DataFrame, keys: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (_key, _i, _j, _side, _comp, _shingles) sorted by cell: of every bucket left, each block of nodes against each.
+
+    The largest component of a bucket isn't compared with itself: its rows only face the others'. Signatures go first;
+    only nodes that have a pair to test in a cell are followed by their sets.
+    """
+    left = checkpoint(state.join(keys.select("_key"), "_key"))
+    wanted = checkpoint(left.select("_c").distinct())
+    own = checkpoint(rows.select("_c", "_m", "_sig").join(_few(wanted), "_c", "left_semi"))
+    left = checkpoint(left.join(own.select("_c", "_m"), "_c"))
+    comps = left.groupBy("_key", "_comp").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_m").alias("_m"))
+    top = checkpoint(comps.groupBy("_key").agg(F.max(F.struct("_m", "_rows", "_comp")).alias("_top"), F.sum("_m").alias("_sum"), F.sum("_rows").alias("_all")))
+    blocks = lambda rows, m: F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(m / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    left = left.join(top, "_key").select(
+        "_key", "_c", "_comp", "_m", (F.col("_comp") == F.col("_top._comp")).alias("_major"), blocks(F.col("_top._rows"), F.col("_top._m")).alias("_x"),
+        blocks(F.col("_all") - F.col("_top._rows"), F.col("_sum") - F.col("_top._m")).alias("_y"),
+    )
     h = F.xxhash64("_c", F.lit("b"))
-    block = F.when(F.col("_major"), F.pmod(h, F.col("_x"))).otherwise(F.pmod(h, F.col("_y"))).cast("int")
-    # Columns of cells: 0.._x-1 hold blocks of the largest component, _x.._x+_y-1 blocks of the others.
-    along = F.when(F.col("_major"), F.transform(F.sequence(F.lit(0), F.col("_y") - 1), lambda i: F.struct(i.alias("_i"), F.col("_block").alias("_j"), F.lit(1).alias("_side")))).otherwise(
+    left = left.withColumn("_block", F.when(F.col("_major"), F.pmod(h, F.col("_x"))).otherwise(F.pmod(h, F.col("_y"))).cast("int"))
+    # Columns of cells: 0.._x-1 hold blocks of the largest component, _x.._x+_y-1 blocks of the others, from the diagonal on.
+    place = lambda i, j, side: F.struct(i.alias("_i"), j.alias("_j"), F.lit(side).alias("_side"))
+    own_block = F.col("_block")
+    along = F.when(F.col("_major"), F.transform(F.sequence(F.lit(0), F.col("_y") - 1), lambda i: place(i, own_block, 1))).otherwise(
         F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("_x") + F.col("_y") - 1), lambda j: F.struct(F.col("_block").alias("_i"), j.alias("_j"), F.lit(0).alias("_side"))),
-            F.transform(F.sequence(F.lit(0), F.col("_y") - 1), lambda i: F.struct(i.alias("_i"), (F.col("_x") + F.col("_block")).alias("_j"), F.lit(1).alias("_side"))),
+            F.transform(F.sequence(F.lit(0), F.col("_x") - 1), lambda j: place(own_block, j, 0)),
+            F.transform(F.sequence(own_block, F.col("_y") - 1), lambda j: place(own_block, F.col("_x") + j, 0)),
+            F.transform(F.sequence(F.lit(0), own_block), lambda i: place(i, F.col("_x") + own_block, 1)),
         )
     )
-    left = left.withColumn("_block", block).join(rows.select("_c", "_sig"), "_c")
-    cells = left.select("_key", F.struct("_c", "_comp", "_sig").alias("_row"), F.explode(along).alias("_cell"))
-    side = lambda k: F.collect_list(F.when(F.col("_cell._side") == k, F.col("_row")))
-    cell = cells.groupBy("_key", "_cell._i", "_cell._j").agg(side(0).alias("_a"), side(1).alias("_b"))
-    return cell.where("size(_a) > 0 and size(_b) > 0").select("_a", "_b").mapInArrow(_block_pairs, "u bigint, v bigint, a bigint, b bigint").distinct()
+    cells = left.select("_key", "_c", "_comp", "_m", F.explode(along).alias("_cell")).join(own.select("_c", "_sig"), "_c")
+    cells = _sorted(cells.select("_key", "_cell._i", "_cell._j", "_cell._side", "_comp", "_m", "_sig", "_c"))
+    open_cells = checkpoint(cells.mapInArrow(_candidates(percent), "_key bigint, _i int, _j int, _side int, _comp bigint, _c bigint"))
+    needed = checkpoint(open_cells.select("_c").distinct())
+    own = checkpoint(sets.join(_few(needed), "_c", "left_semi"))
+    return _sorted(open_cells.join(own, "_c").select("_key", "_i", "_j", "_side", "_comp", "_shingles"))
+
+
+def _few(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
