@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.functions.filters import compile_filter
+from papyra.functions.geo import metres_between
 from papyra.functions.paths import Scope, name
 from papyra.operators.relational import join_key
 
@@ -51,6 +52,7 @@ class Query:
         self._slices: dict[str, Any] = {}
         self._scores: dict[str, str] = {}
         self._random: int | None = None
+        self._nearest: tuple | None = None
         self._or_fail: Any = None
         self._hint: tuple | None = None
         self._update: Mapping[str, Any] | None = None
@@ -175,7 +177,7 @@ class Query:
         point = spec.get("center", spec.get("$geometry", spec)) if isinstance(spec, Mapping) else spec
         point = point["coordinates"] if isinstance(point, Mapping) else point
         options = {k: v for k, v in (("$maxDistance", spec.get("maxDistance", spec.get("$maxDistance"))), ("$minDistance", spec.get("minDistance"))) if v is not None} if isinstance(spec, Mapping) else {}
-        return self._add({path: {"$near": point, **options}})._with(_path=path)
+        return self._add({path: {"$near": point, **options}})._with(_path=path, _nearest=(path, tuple(point)))
 
     near_sphere = near
 
@@ -229,7 +231,7 @@ class Query:
         return bool(self._fields)
 
     def selected_inclusively(self) -> bool:
-        return any(v for k, v in self._fields.items() if k != "_id")
+        return any(v for k, v in self._fields.items() if k != "_id" or len(self._fields) == 1)
 
     def selected_exclusively(self) -> bool:
         return bool(self._fields) and not self.selected_inclusively()
@@ -362,6 +364,9 @@ class Query:
             if "_id" in df.columns and "_id" not in self._order:
                 keys.append(name("_id").asc_nulls_first())
             df = df.orderBy(*keys)
+        elif self._nearest:
+            path, point = self._nearest
+            df = df.orderBy(metres_between(scope.path(path), *point), *([name("_id")] if "_id" in df.columns else []))
         if self._skip:
             df = df.offset(self._skip)
         if self._limit:

@@ -285,6 +285,12 @@ def query_paginate(t):
     return Query(lambda: t("customer")).sort({"c_acctbal": 1, "c_custkey": 1}).paginate(3, 15).select("c_custkey c_acctbal").df()
 
 
+@frame(f"""select c_custkey from {_LONLAT} order by round({_metres(12.5, 41.5)} * 6371008.8, 3), c_custkey limit 10""")
+def query_near(t):
+    places = _places(t).withColumnRenamed("c_custkey", "_id")
+    return Query(lambda: places).where("location").near({"center": [12.5, 41.5]}).max_distance(5000000).limit(10).select("_id").df().withColumnRenamed("_id", "c_custkey")
+
+
 @frame("""select distinct o_orderpriority from orders where o_custkey < 30""")
 def query_distinct(t):
     return Query(lambda: t("orders"), conditions={"o_custkey": {"$lt": 30}}).distinct("o_orderpriority")

@@ -212,6 +212,11 @@ def test_query_builder(spark):
     assert q.find({"n": 3}).clone().get_filter() == {"n": 3} and q.merge(q.find({"n": 4})).count_documents() == 1
     assert q.paginate(2, 5).sort("n").lean().collect()[0] == {"n": 5} and q.limit(0).df().count() == 20
     assert q.hint("broadcast").comment("c").get_options()["comment"] == "c" and q.select("-n").selected_exclusively()
+    places = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.2, 0.0]), (4, [80.0, 0.0])], "_id int, at array<double>")
+    near = Query(lambda: places).where("at").near({"center": [0.1, 0.0], "maxDistance": 500000})
+    assert sorted(r._id for r in near.df().collect()[:2]) == [1, 3] and near.df().collect()[2]._id == 2 and near.max_distance(20000).df().count() == 2
+    assert Query(lambda: places).box("at", [-1, -1], [0.5, 1]).count_documents() == 2 and Query(lambda: places).where("at").within({"center": [[0, 0], 0.5]}).count_documents() == 2
+    assert Query(lambda: places).where("at").polygon([-1, -1], [2, -1], [2, 1], [-1, 1]).count_documents() == 3 and Query(lambda: places).center_sphere("at", [0, 0], 0.1).count_documents() == 3
     with pytest.raises(ValueError):
         q.gt(1)
     with pytest.raises(AttributeError):
