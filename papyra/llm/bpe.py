@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import read, ship
+from papyra.llm.common import read, ship, worker_cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encoded pre-tokens that a worker remembers, and the longest it does: together the bound of that memory.
-MEMO_ENTRIES, MEMO_CHARS = 700_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 500_000, 48
 #: The pattern under which texts can be cut at single spaces, and what it counts as white space (or Python does).
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANKS = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\s", c))
@@ -167,18 +167,6 @@ class Codec:
         return b"".join([bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-#: Of this Python worker, by broadcast: what a task has memorised serves the next one.
-_CODECS: dict[tuple, Codec] = {}
-
-
-def _codec_here(table, pattern: str) -> Codec:
-    key = (table._path, pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(table.value, pattern)
-    return _CODECS[key]
-
-
 def _codec(df: DataFrame, path: str | None, pattern: str | None):
     """A function that gives a Python worker its codec. The vocabulary file bounds what is broadcast."""
     import public_tokenizers
@@ -186,7 +174,8 @@ def _codec(df: DataFrame, path: str | None, pattern: str | None):
     ship(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(PerfectHash(load_ranks(path or public_tokenizers.path(VOCABULARY))))
     pattern = pattern or public_tokenizers.PATTERN
-    return lambda: _codec_here(table, pattern)
+    # What a task has memorised serves the worker's next one.
+    return lambda: worker_cache((table._path, pattern), lambda: Codec(table.value, pattern))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -6,10 +6,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -19,11 +22,26 @@ LOWER = UPPER.lower()
 HOT_SHARE = 1000
 
 
+#: Rows that Python workers get at once, unless the session has a setting of its own: texts may be long.
+BATCH_ROWS = "1000"
 _shipped: set[str] = set()
+_held: dict[Any, Any] = {}
+
+
+def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from one task to the next. Workers serve several operators; only one's cache stays."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: where PYTHONPATH or the working folder don't do so, as an added zip."""
+    """Let Python workers import this package (where PYTHONPATH or the working folder don't do so, as an added zip), and
+    keep the batches that they get small."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, BATCH_ROWS)
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     near = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
@@ -121,14 +139,22 @@ def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, size: str, total
     return rows.join(hot, key, "inner").unionByName(rows.join(F.broadcast(table.where(F.col(size) > limit).select(key)), key, "left_anti").join(cold, key, "left"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``rows`` labelled documents outside fold 0, the first by a hash of their id.
+#: Characters of text that a classifier is fitted on, at most; what bounds the driver's memory where texts are long.
+SAMPLE_CHARS = 100_000_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``rows`` labelled documents outside fold 0, the first by a hash of their id, and of
+    these as many as come to ``chars`` characters.
 
-    The bound makes the sample safe to collect. Null ids and labels are left out; of a text's copies one remains.
+    The bounds make the sample safe to collect. Null ids and labels are left out; of a text's copies one remains.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold(F.col(id_col)) != 0))
     chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").collect()
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    # At most `rows` documents (and rows that repeat their ids) are in this window.
+    total = F.sum(F.length("_text")).over(W.orderBy(F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = found.withColumn("_total", total).where(F.col("_total") <= chars).collect()
     unique = {r._text: r._y for r in sorted(found, key=lambda r: r._id)}
     return list(unique), list(unique.values())
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import checkpoint, fold, read, ship
+from papyra.llm.common import checkpoint, fold, read, ship, worker_cache
 
 #: The most frequent words, which the automaton knows by number: the bound of what is broadcast (8 bytes each, and a count).
 HEAD = 1 << 18
@@ -26,21 +26,20 @@ END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 
 
 class Hashes(dict):
+    LIMIT = 400_000
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= FLUSH:
+        if len(self) >= self.LIMIT:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASHES = Hashes()
-
-
 def token_hashes(text: str) -> np.ndarray:
     """64-bit hashes of a text's words (A-Z lower-cased) and its end."""
     words = text.encode().lower().split()
     out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    out[:-1] = np.fromiter(map(worker_cache("tokens", Hashes).__getitem__, words), np.uint64, len(words))
     out[-1] = END
     return out
 

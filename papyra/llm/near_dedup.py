@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import checkpoint, read, ship
+from papyra.llm.common import checkpoint, read, ship, worker_cache
 from papyra.llm.components import components
 
 #: A signature has K symbols of 16 bits. At similarity 0.8 the symbols that differ number 12.8 on average, with a
@@ -33,7 +33,7 @@ _B = _rng.integers(0, 2**63, K, dtype=np.uint64)
 
 
 class WordHashes(dict):
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -42,9 +42,6 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -56,7 +53,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("words", WordHashes).__getitem__, words), np.uint64, len(words))
     n = min(n, len(words))
     out = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
