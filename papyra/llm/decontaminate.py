@@ -11,8 +11,8 @@ WINDOW = 13
 SHINGLE = 5
 MIN_SHARE_INVERSE = 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Most benchmark rows (shingles, windows) and candidate documents that are broadcast; beyond, the same joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes that are broadcast, of shingles, windows or candidates; beyond, the same joins shuffle.
+BROADCAST_BYTES = 128 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -20,8 +20,8 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def windows_of(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -42,13 +42,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Null and empty texts have no words: nothing is hit. Null item ids are the text ''. Items without words and empty
     tables give no windows. Rows that repeat an id each get a row of their own text. Other columns are ignored.
-    Texts are read twice and never shuffled unless more than BROADCAST_ROWS documents hold candidates. With carry, the
+    Texts are read twice, and shuffled (once) only if the candidates come to more than BROADCAST_BYTES. With carry, the
     input's row comes along as a struct, `row`.
     """
     spark = docs.sparkSession
     windows = checkpoint(windows_of(items.withColumn(item_col, F.coalesce(F.col(item_col).cast("string"), F.lit(""))), item_col, item_text, window))
-    sizes = windows.groupBy("_len").count().collect()  # at most `window` rows
-    n_windows = sum(r["count"] for r in sizes)
+    texts = F.sum(F.length(F.array_join("_words", "")) + 24 * F.size("_words") + 40 * F.size("_items") + 100).alias("bytes")
+    sizes = windows.groupBy("_len").agg(F.count(F.lit(1)).alias("n"), texts).collect()  # at most `window` rows
+    n_windows, window_bytes = sum(r.n for r in sizes), sum(r.bytes for r in sizes)
     # A shingle for windows of fewer words than `shingle` is the whole window.
     lengths = sorted({min(shingle, r["_len"]) for r in sizes}) or [shingle]
     parts = windows.select("_w", F.posexplode(F.expr(f"transform(sequence(1, _len - least(_len, {shingle}) + 1), i -> xxhash64(slice(_words, i, {shingle})))")).alias("_off", "_s"))
@@ -61,25 +62,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     streams = []
     for k in lengths:
         hashes = F.expr(f"if(size(_all) >= {k}, transform(sequence(1, size(_all) - {k - 1}), i -> xxhash64(slice(_all, i, {k}))), cast(array() as array<bigint>))")
-        streams.append(keyed.select("_id", F.size("_all").alias("_n"), F.posexplode(hashes).alias("_pos", "_s")).join(small(vocabulary, n_vocabulary), "_s"))
+        streams.append(keyed.select("_id", F.size("_all").alias("_n"), F.posexplode(hashes).alias("_pos", "_s")).join(small(vocabulary, 40 * n_vocabulary), "_s"))
     met = streams[0]
     for other in streams[1:]:
         met = met.unionByName(other)
     met = checkpoint(met)
 
     rarity = met.groupBy("_s").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = parts.join(small(rarity, n_vocabulary), "_s", "left").groupBy("_w").agg(
+    ranked = parts.join(small(rarity, 60 * n_vocabulary), "_s", "left").groupBy("_w").agg(
         F.count(F.when(F.col("_df").isNull(), 1)).alias("_never"), F.min(F.struct("_df", "_off", "_s")).alias("_rarest")
     )
     anchors = ranked.where("_never = 0").select("_w", F.col("_rarest._off").alias("_off"), F.col("_rarest._s").alias("_s"))
-    anchors = checkpoint(anchors.join(small(windows.select("_w", "_len"), n_windows), "_w"))
-    found = met.join(small(anchors, n_windows), "_s").withColumn("_start", F.col("_pos") - F.col("_off"))
+    anchors = checkpoint(anchors.join(small(windows.select("_w", "_len"), 60 * n_windows), "_w"))
+    found = met.join(small(anchors, 80 * n_windows), "_s").withColumn("_start", F.col("_pos") - F.col("_off"))
     found = found.where("_start >= 0 and _start + _len <= _n").select("_id", "_w", "_start", "_len").distinct()
-    found = found.join(small(windows.select("_w", "_words", "_items"), n_windows), "_w")
+    found = found.join(small(windows.select("_w", "_words", "_items"), window_bytes), "_w")
     per_doc = checkpoint(found.groupBy("_id").agg(F.collect_list(F.struct("_start", "_len", "_words", "_items")).alias("_found")))
-    n_docs = per_doc.count()
+    entry = "aggregate(_found, 100L, (a, c) -> a + 100 + length(array_join(c._words, '')) + 24 * size(c._words) + 40 * size(c._items))"
+    found_bytes = per_doc.agg(F.coalesce(F.sum(F.expr(entry)), F.lit(0)).alias("b")).first().b
 
-    out = keyed.join(small(per_doc, n_docs), keyed["_id"].eqNullSafe(per_doc["_id"]), "left").select(keyed["_id"], "row", F.size("_all").alias("n_words"), F.expr("filter(_found, c -> slice(_all, c._start + 1, c._len) = c._words)").alias("_hits"))
+    out = keyed.join(small(per_doc, found_bytes), keyed["_id"].eqNullSafe(per_doc["_id"]), "left").select(keyed["_id"], "row", F.size("_all").alias("n_words"), F.expr("filter(_found, c -> slice(_all, c._start + 1, c._len) = c._words)").alias("_hits"))
     out = out.select(
         F.col("_id").alias(id_col), "row", F.col("n_words").cast("long"),
         F.coalesce(F.expr("size(array_distinct(flatten(transform(_hits, c -> sequence(c._start, c._start + c._len - 1)))))"), F.lit(0)).cast("long").alias("n_hit"),
