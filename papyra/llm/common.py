@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -94,6 +95,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles and checkpoints that nothing refers to any more removed.
+
+    Spark does so only after the driver has collected its garbage, which between rounds of joins it has no reason to do.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

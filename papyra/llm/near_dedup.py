@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import checkpoint, read, ship, worker_cache
+from papyra.llm.common import checkpoint, read, release, ship, worker_cache
 from papyra.llm.components import components
 
 #: A signature has K symbols of 16 bits. At similarity 0.8 the symbols that differ number 12.8 on average, with a
@@ -285,6 +285,8 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
     shared = checkpoint(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"))
     state = checkpoint(keys.join(shared, "_key").select("_key", "_c", F.col("_c").alias("_comp")))
     sets = checkpoint(_sets_of(source, rows, state, n))
+    del keys, shared
+    release(source.sparkSession)
     links = None
 
     def open_keys(state: DataFrame, chunks: tuple[int, ...] = (), turn: int = 0) -> DataFrame:
@@ -308,6 +310,8 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
         found = checkpoint(_confirm(pairs, sets, percent).select("a", "b"))
         links = found if links is None else links.unionByName(found)
         state = hooked(state, found)
+        del keys_left, pairs, found
+        release(source.sparkSession)
     for chunks in CHUNK_TURNS:
         keys_left = open_keys(state, chunks)
         if keys_left.isEmpty():
@@ -315,6 +319,8 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
         found = checkpoint(_cells(state, keys_left, rows, sets, percent).mapInArrow(_links(percent), "a bigint, b bigint").distinct())
         links = found if links is None else links.unionByName(found)
         state = hooked(state, found)
+        del keys_left, found
+        release(source.sparkSession)
     if links is None:
         return rows.select(F.col("_c").alias("u"), F.col("_c").alias("label")).limit(0)
     nodes = checkpoint(state.select("_c", "_comp").distinct())
@@ -376,6 +382,8 @@ def _cells(state: DataFrame, keys: DataFrame, rows: DataFrame, sets: DataFrame,
     cells = left.select("_key", "_c", "_comp", "_m", F.explode(along).alias("_cell")).join(own.select("_c", "_sig"), "_c")
     cells = _sorted(cells.select("_key", "_cell._i", "_cell._j", "_cell._side", "_comp", "_m", "_sig", "_c"))
     open_cells = checkpoint(cells.mapInArrow(_candidates(percent), "_key bigint, _i int, _j int, _side int, _comp bigint, _c bigint"))
+    del left, own, comps, top, cells
+    release(state.sparkSession)
     needed = checkpoint(open_cells.select("_c").distinct())
     own = checkpoint(sets.join(_few(needed), "_c", "left_semi"))
     return _sorted(open_cells.join(own, "_c").select("_key", "_i", "_j", "_side", "_comp", "_shingles"))
