@@ -68,17 +68,26 @@ def check(pipeline: Iterable[Mapping[str, Any]]) -> list[tuple[str, Any]]:
     return out
 
 
-def _summary(lookup: Mapping, project: Mapping) -> dict[str, str | None] | None:
-    """For a $project after a $lookup that uses its array only in $size and $sum of a field: output name -> field."""
+def _summary(lookup: Mapping, project: Mapping) -> tuple[dict[str, str | None], dict] | None:
+    """For a $project after a $lookup that uses its array only in $size and $sum of a field: hidden column -> field (None:
+    the size), and the project with those columns instead."""
     array, wanted = "$" + lookup["as"], {}
-    for key, value in project.items():
-        if value == {"$size": array}:
-            wanted[key] = None
-        elif isinstance(value, Mapping) and set(value) == {"$sum"} and isinstance(value["$sum"], str) and value["$sum"].startswith(array + "."):
-            wanted[key] = value["$sum"][len(array) + 1 :]
-        elif array in repr(value) or key.split(".")[0] == lookup["as"]:
-            return None
-    return wanted or None
+
+    def swap(x: Any) -> Any:
+        if isinstance(x, Mapping) and len(x) == 1:
+            ((op, arg),) = x.items()
+            if x == {"$size": array} or (op == "$sum" and isinstance(arg, str) and arg.startswith(array + ".")):
+                key = f"_sum{len(wanted)}"
+                wanted[key] = None if op == "$size" else arg[len(array) + 1 :]
+                return "$" + key
+        if isinstance(x, Mapping):
+            return {k: swap(v) for k, v in x.items()}
+        return [swap(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+    swapped = {k: swap(v) for k, v in project.items()}
+    if not wanted or array in repr(swapped) or any(k.split(".")[0] == lookup["as"] for k in project):
+        return None
+    return wanted, swapped
 
 
 def _in_order(df: DataFrame, order: list[tuple[str, int]] | None, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -107,9 +116,9 @@ def compile_pipeline(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], ctx:
                 df = _in_order(df, ctx.order, lambda d: r.lookup_unwind(d, spec, ctx, keep))
                 i += 2
                 continue
-        if op == "$lookup" and following[0] == "$project" and (wanted := _summary(spec, following[1])) and not set(wanted) & set(df.columns):
-            df = _in_order(df, ctx.order, lambda d: r.lookup_summary(d, spec, wanted, ctx))
-            df = r.project(df, {k: 1 if k in wanted else v for k, v in following[1].items()}, ctx)
+        if op == "$lookup" and following[0] == "$project" and (found := _summary(spec, following[1])):
+            df = _in_order(df, ctx.order, lambda d: r.lookup_summary(d, spec, found[0], ctx))
+            df = r.project(df, found[1], ctx)
             i += 2
             continue
         df = _in_order(df, ctx.order, lambda d: STAGES[op](d, spec, ctx)) if op in _DEALT else STAGES[op](df, spec, ctx)
