@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ DISCOUNT, ADD = 0.75, 0.5
 FLUSH = 1_000_000
 #: Words of documents that are looked up together.
 CHUNK = 1 << 18
+#: Words of the documents that ask together, and training words for each bucket that answers.
+ASK, BUCKET = 1_000_000, 2_000_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 
 
@@ -121,7 +124,9 @@ def _count_grams(held):
 
 
 class Automaton:
-    """States are the empty context, the BI most frequent words and pairs of the TRI most frequent ones.
+    """The model over frequent words alone, in dense tables; `lm_scores` takes all words and doesn't use it.
+
+    States are the empty context, the BI most frequent words and pairs of the TRI most frequent ones.
 
     An n-gram that was seen is an arc with its discounted, interpolated probability; for other words a state's
     failure arc costs the logarithm of its backoff weight and leads to the state of the shorter context. All arcs
@@ -185,42 +190,166 @@ class Automaton:
         return out, base
 
 
-def _score(held):
-    """A row for each document (its id and sums) and for each of its words outside the heads (its hash and number)."""
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A bijection of 64-bit numbers, another for each seed (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15 * seed & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Grams:
+    """The distinct words, bigrams and trigrams of some documents, each a continuation of a context.
+
+    ctx holds hashes of the distinct contexts (words as contexts of themselves, then words, then bigrams), lens the
+    distinct continuations of each, next their words. Made again from the same words it is the same.
+    """
+
+    def __init__(self, words: np.ndarray, w: np.ndarray, sizes: np.ndarray, buckets: int):
+        n = len(words)
+        start = np.cumsum(sizes) - sizes
+        place = np.arange(len(w)) - np.repeat(start, sizes)
+        self.w, self.at_two, self.at_three = w, np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+        two, of_two = np.unique(w[self.at_two - 1] * n + w[self.at_two], return_inverse=True)
+        self.two = np.full(len(w), -1, np.int64)
+        self.two[self.at_two] = of_two
+        three, self.three = np.unique(self.two[self.at_three - 1] * n + w[self.at_three], return_inverse=True)
+        self.lower = np.zeros(len(three), np.int64)  # the bigram that a trigram ends with
+        self.lower[self.three] = self.two[self.at_three]
+        one_ctx, one_lens = np.unique(two // n, return_counts=True)
+        two_ctx, two_lens = np.unique(three // n, return_counts=True)
+        pair = two[two_ctx]
+        both = _mixed(words[pair // n], 1) ^ _mixed(words[pair % n], 2)
+        self.ctx = np.concatenate([_mixed(words, 3), _mixed(words[one_ctx], 4), _mixed(both, 5)])
+        self.lens = np.concatenate([np.ones(n, np.int64), one_lens, two_lens])
+        self.next = np.concatenate([np.zeros(n, np.int64), two % n, three % n])
+        self.sizes = (n, len(two), len(three))
+        bucket = ((self.ctx >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+        self.ctx_order = np.argsort(bucket, kind="stable")
+        self.gram_order = np.argsort(np.repeat(bucket, self.lens), kind="stable")
+        self.ctx_ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        self.gram_ends = np.cumsum(np.bincount(np.repeat(bucket, self.lens), minlength=buckets))
+
+    def counts(self, trained: np.ndarray) -> np.ndarray:
+        n = self.sizes
+        parts = (self.w, trained), (self.two[self.at_two], trained[self.at_two]), (self.three, trained[self.at_three])
+        return np.concatenate([np.bincount(k[on], minlength=m) for (k, on), m in zip(parts, n, strict=True)])
+
+
+def _ask(chunk: int, buckets: int):
+    """Rows of a chunk of documents: what it holds, and for each bucket its contexts, their continuations and counts."""
+
+    def rows(number: int, ids: list[pa.Array], tokens: np.ndarray, sizes: np.ndarray, train: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        words, w = np.unique(tokens, return_inverse=True)
+        g = Grams(words, w, sizes, buckets)
+        ids = pa.concat_arrays(ids)
+        many = g.counts(np.repeat(train, sizes))[g.gram_order].astype(np.int32)
+        ctx, lens = g.ctx[g.ctx_order], g.lens[g.ctx_order].astype(np.int32)
+        following = np.concatenate([np.zeros(len(words), np.uint64), words[g.next[len(words) :]]])[g.gram_order]
+        state = [words.tobytes(), w.astype(np.int32).tobytes(), sizes.astype(np.int64).tobytes(), None]
+        yield _row(number % buckets, number, state, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+        a = b = 0
+        for k in range(buckets):
+            if (to := g.ctx_ends[k]) > a:
+                til = g.gram_ends[k]
+                yield _row(k, number, [ctx[a:to].tobytes(), lens[a:to].tobytes(), following[b:til].tobytes(), many[b:til].tobytes()], pa.nulls(1, pa.list_(kind)))
+                a, b = to, til
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = held.value
-        # The same number for a document's rows; input partitions and so these numbers are the same when a task runs again.
-        at_row = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() << 32
+        ids, held, sizes, train, n = [], [], [], [], 0
         for batch in batches:
             done = 0
-            for tokens, sizes in _chunks(batch.column(1)):
-                w = auto.ids(tokens)
-                score, base = auto.traverse(w, sizes)
-                first = np.cumsum(sizes) - sizes
-                n = len(sizes)
-                row = at_row + np.arange(n)
-                at_row += n
-                ids = batch.column(0).slice(done, n)
-                done += n
-                known = np.add.reduceat((w >= 0).astype(np.int64), first)
-                # No word hashes to the key of a document's own row, save by chance; its count is not used.
-                yield pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(~row), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))], _SCORED)
-                rare = w < 0
-                if rare.any():
-                    of, h = np.repeat(np.arange(n), sizes)[rare], tokens[rare]
-                    order = np.lexsort((h, of))
-                    of, h = of[order], h[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
-                    at = np.flatnonzero(new)
-                    k = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(row[of[at]]), pa.nulls(k, ids.type), pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h)))), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], _SCORED)
+            for i, text in enumerate(batch.column(1)):
+                held.append(token_hashes(text.as_py()))
+                sizes.append(len(held[-1]))
+                train.append(batch.column(2)[i].as_py())
+                n += sizes[-1]
+                if n >= chunk:
+                    yield from rows(number, [*ids, batch.column(0).slice(done, i + 1 - done)], np.concatenate(held), np.array(sizes), np.array(train), batch.column(0).type)
+                    number, done = number + 1, i + 1
+                    ids, held, sizes, train, n = [], [], [], [], 0
+            if done < batch.num_rows:
+                ids.append(batch.column(0).slice(done))
+        if held:
+            yield from rows(number, ids, np.concatenate(held), np.array(sizes), np.array(train), ids[0].type)
 
     return run
 
 
-_SCORED = ["_row", "_id", "_h", "_n", "_known", "_base", "_score"]
+_ASKED = ["_bucket", "_chunk", "_a", "_b", "_c", "_d", "_ids"]
+
+
+def _row(bucket: int, chunk: int, blobs: list[bytes | None], ids: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), ids], _ASKED)
+
+
+def _joined(blobs: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Sums the counts of a bucket and answers every chunk: a count for each continuation, and for each context what
+    follows it in all and how many different words do. What chunks hold passes unchanged."""
+    own = pa.compute.is_valid(table["_ids"])
+    asked = table.filter(pa.compute.invert(own))
+    if not len(asked):
+        return table
+    held = table.filter(own)
+    ctx, of = np.unique(_joined(asked["_a"].to_pylist(), np.uint64), return_inverse=True)
+    lens = _joined(asked["_b"].to_pylist(), np.int32)
+    words, following = np.unique(_joined(asked["_c"].to_pylist(), np.uint64), return_inverse=True)
+    gram, at = np.unique(np.repeat(of, lens) * len(words) + following, return_inverse=True)
+    # Sums of integers, exact in doubles up to 2**53.
+    count = np.bincount(at, weights=_joined(asked["_d"].to_pylist(), np.int32), minlength=len(gram))
+    follow = np.bincount(gram // len(words), weights=count, minlength=len(ctx))
+    types = np.bincount(gram // len(words), weights=count > 0, minlength=len(ctx))
+    a, b, c = [], [], []
+    x = y = 0
+    for n, m in zip(pa.compute.binary_length(asked["_a"]).to_pylist(), pa.compute.binary_length(asked["_c"]).to_pylist(), strict=True):
+        mine, gone = of[x : x + n // 8], at[y : y + m // 8]
+        a.append(count[gone].astype(np.int64).tobytes())
+        b.append(follow[mine].astype(np.int64).tobytes())
+        c.append(types[mine].astype(np.int64).tobytes())
+        x, y = x + n // 8, y + m // 8
+    answers = pa.table([asked["_bucket"], asked["_chunk"], *(pa.array(v, pa.binary()) for v in (a, b, c)), pa.nulls(len(asked), pa.binary()), asked["_ids"]], schema=table.schema)
+    return pa.concat_tables([held, answers])
+
+
+def interpolated(count: np.ndarray, follow: np.ndarray, types: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Discounted probabilities; the mass that is left goes to the shorter context, all of it where this one wasn't seen."""
+    n = np.maximum(follow, 1)
+    return np.where(follow > 0, np.maximum(count - DISCOUNT, 0) / n + DISCOUNT * types / n * lower, lower)
+
+
+def _score(buckets: int, log_total: float):
+    """A row for each document of a chunk, from what the chunk holds and the answers to it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = pa.compute.is_valid(table["_ids"])
+        mine = table.filter(own)
+        found = table.filter(pa.compute.invert(own)).sort_by("_bucket")
+        words, w, sizes = (np.frombuffer(mine[c][0].as_py(), t) for c, t in (("_a", np.uint64), ("_b", np.int32), ("_c", np.int64)))
+        w = w.astype(np.int64)
+        g = Grams(words, w, sizes, buckets)
+        count, follow, types = np.empty(len(g.next)), np.empty(len(g.ctx)), np.empty(len(g.ctx))
+        count[g.gram_order] = _joined(found["_a"].to_pylist(), np.int64)
+        follow[g.ctx_order] = _joined(found["_b"].to_pylist(), np.int64)
+        types[g.ctx_order] = _joined(found["_c"].to_pylist(), np.int64)
+        follow, types = np.repeat(follow, g.lens), np.repeat(types, g.lens)
+        n, m, _ = g.sizes
+        one = np.log10(count[:n] + ADD) - log_total
+        two = interpolated(count[n : n + m], follow[n : n + m], types[n : n + m], 10.0 ** one[g.next[n : n + m]])
+        three = interpolated(count[n + m :], follow[n + m :], types[n + m :], two[g.lower])
+        base = one[w]
+        score = base.copy()
+        score[g.at_two] = np.log10(two)[g.two[g.at_two]]
+        score[g.at_three] = np.log10(three)[g.three]
+        first = np.cumsum(sizes) - sizes
+        known = np.add.reduceat((count[:n] > 0)[w].astype(np.int64), first)
+        return pa.table([mine["_ids"].combine_chunks().flatten(), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))], ["_id", "_n", "_known", "_base", "_score"])
+
+    return run
 
 
 def frequent(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
@@ -243,43 +372,33 @@ def frequent(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarra
     return h[order], c[order]
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int | None = 1, folds: int = 5, head: int = HEAD) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int | None = 1, folds: int = 5, head: int = HEAD, chunk: int = ASK, bucket: int = BUCKET) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Words are runs without ASCII white space, A-Z lower-cased, then one end. The model learns from the rows whose
     crc32(id as text) mod folds isn't held_out_fold (None: from all). base_score uses smoothed unigrams of all words;
-    score the backoff automaton (trigrams and bigrams of the most frequent words, discounted and interpolated, down to
-    the same unigrams), one traversal from left to right whose state is the context.
-
-    The most frequent words (at most `head`, whatever the corpus) are broadcast; counts of all others stay a
-    distributed table, joined with what documents hold of them. Counts cover the whole training part. Null texts are
-    empty (one end token); null ids are in fold crc32(''); rows that repeat an id each get their own row; an empty
-    table gives an empty result; other columns are ignored.
+    score trigrams and bigrams of all words, discounted and interpolated, down to the same unigrams.
+
+    Nothing of the model is collected, broadcast or left out. Each chunk of documents (about `chunk` words) sends its
+    distinct n-grams with their counts to the buckets of their contexts (about `bucket` training words each, so their
+    number grows with the corpus); a bucket sums what it gets and answers each chunk, which then scores its documents.
+    Null texts are empty (one end token); null ids are in fold crc32(''); rows that repeat an id each get their own
+    row; an empty table gives an empty result; other columns are ignored. `head` bounded a broadcast of words that is
+    no longer made; it has no effect.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
     ship(spark)
     source = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
-    train = source if held_out_fold is None else source.where(fold(F.col("_id"), folds) != held_out_fold)
-    train = train.select("_text")
-    counts = checkpoint(train.mapInArrow(_count_words, "_h bigint, _c bigint").groupBy("_h").agg(F.sum("_c").alias("_c")))
+    train = F.lit(True) if held_out_fold is None else fold(F.col("_id"), folds) != held_out_fold
+    counts = source.where(train).select("_text").mapInArrow(_count_words, "_h bigint, _c bigint").groupBy("_h").agg(F.sum("_c").alias("_c"))
     total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    heads, many = frequent(counts, head)
-    order = np.argsort(heads)
-    grams = train.mapInArrow(_count_grams(sc.broadcast((heads[order], order))), "_kind int, _k bigint, _c bigint").groupBy("_kind", "_k").agg(F.sum("_c").alias("_c")).toPandas()
-    auto = Automaton(heads, many, total.n, total.v, {int(k): (g["_k"].to_numpy(), g["_c"].to_numpy()) for k, g in grams.groupby("_kind")})
-
-    parts = source.mapInArrow(_score(sc.broadcast(auto)), f"_row bigint, _id {kind}, _h bigint, _n bigint, _known bigint, _base double, _score double")
-    tail = counts.where(F.col("_c") <= int(many.min())) if len(many) else counts
-    own = F.col("_known").isNotNull()
-    p = F.col("_n") * (F.log10(F.coalesce("_c", F.lit(0)) + F.lit(ADD)) - F.lit(float(auto.log_total)))
-    met = parts.join(tail, "_h", "left").select(
-        "_row", "_id", F.when(own, F.col("_n")).otherwise(0).alias("_n"),
-        F.when(own, F.col("_known")).when(F.col("_c").isNotNull(), F.col("_n")).otherwise(0).alias("_known"),
-        F.when(own, F.col("_base")).otherwise(p).alias("_base"), F.when(own, F.col("_score")).otherwise(p).alias("_score"),
-    )
-    out = met.groupBy("_row").agg(F.max("_id").alias("_id"), *(F.sum(c).alias(c) for c in ("_n", "_known", "_base", "_score")))
+    buckets = 1 + total.n // bucket
+    log_total = float(np.log10(total.n + ADD * (total.v + 1)))
+
+    schema = f"_bucket int, _chunk bigint, _a binary, _b binary, _c binary, _d binary, _ids array<{kind}>"
+    asked = source.select("_id", "_text", train.alias("_train")).mapInArrow(_ask(chunk, buckets), schema)
+    out = asked.groupBy("_bucket").applyInArrow(_answer, schema).groupBy("_chunk").applyInArrow(_score(buckets, log_total), f"_id {kind}, _n bigint, _known bigint, _base double, _score double")
     held = fold(F.col("_id"), folds) == held_out_fold if held_out_fold is not None else F.lit(False)
     return out.select(
         F.col("_id").alias(id_col), held.alias("held_out"), F.col("_n").alias("n_tokens"), F.col("_known").alias("n_known"),

@@ -213,3 +213,36 @@ def test_perfect_hash():
     keys = {str(i).encode(): i for i in range(2000)}
     table = bpe.PerfectHash(keys)
     assert all(table.get(k) == v for k, v in keys.items()) and table.get(b"x") is None and table.n == 2000
+
+
+def scores_by_definition(rows, held_out=1):
+    """Interpolated trigrams of all words, by the formulas, without any table of frequent words."""
+    texts = [[*(t or "").translate(LOWER).split(), None] for _, t in rows]
+    grams, after, types = collections.Counter(), collections.Counter(), collections.Counter()
+    for (i, _), t in zip(rows, texts, strict=True):
+        if crc(i) != held_out:
+            for k in range(3):
+                grams.update(tuple(t[j - k : j + 1]) for j in range(k, len(t)))
+    for g, c in grams.items():
+        after[g[:-1]] += c
+        types[g[:-1]] += 1
+    n, v = after[()], types[()]
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[g] + 0.5) / (n + 0.5 * (v + 1))
+        if not after[g[:-1]]:
+            return p(g[1:])
+        return (max(grams[g] - 0.75, 0) + 0.75 * types[g[:-1]] * p(g[1:])) / after[g[:-1]]
+
+    return [(i, round(sum(math.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t))), 5)) for (i, _), t in zip(rows, texts, strict=True)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 700, "bucket": 3000}])
+def test_lm_counts_ngrams_of_rare_words(spark, sizes):
+    """Words beyond the 1,024 most frequent ones, in fixed phrases: bigrams and trigrams of all of them count."""
+    r = random.Random(9)
+    phrases = [" ".join(f"r{k}x{j}" for j in range(5)) for k in range(600)]
+    rows = [(i, " ".join(r.choice(phrases) for _ in range(20))) for i in range(200)]
+    found = [(d.doc_id, round(d.score, 5)) for d in lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), **sizes).collect()]
+    assert sorted(found) == sorted(scores_by_definition(rows))
