@@ -154,14 +154,23 @@ def populate_single(t):
     return populated(t("orders"), "o_custkey", people, ["c_name", "c_acctbal"]).select("o_orderkey", F.col("o_custkey.c_name").alias("customer"), F.col("o_custkey.c_acctbal").alias("bal"))
 
 
-@frame("""select o_custkey as _id, string_agg(p_name, '|' order by k) as names, count(*) as n from (select distinct o_custkey, l_partkey as k from orders join lineitem on l_orderkey = o_orderkey where o_custkey < 50) join part on p_partkey = k group by 1""")
-def populate_array(t):
-    rows = t("orders").where("o_custkey < 50").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+def _parts_of_customers(t: Callable[[str], DataFrame], orders: DataFrame) -> DataFrame:
+    rows = orders.join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     lists = aggregate(rows, [{"$group": {"_id": "$o_custkey", "parts": {"$addToSet": "$l_partkey"}}}])
     out = populated(lists, "parts", t("part").withColumnRenamed("p_partkey", "_id"), ["p_name"])
     return out.select("_id", F.array_join("parts.p_name", "|").alias("names"), F.size("parts").cast("bigint").alias("n"))
 
 
+@frame("""select o_custkey as _id, string_agg(p_name, '|' order by k) as names, count(*) as n from (select distinct o_custkey, l_partkey as k from orders join lineitem on l_orderkey = o_orderkey where o_custkey < 50) join part on p_partkey = k group by 1""")
+def populate_array(t):
+    return _parts_of_customers(t, t("orders").where("o_custkey < 50"))
+
+
+@frame("""select o_custkey as _id, string_agg(p_name, '|' order by k) as names, count(*) as n from (select distinct o_custkey, l_partkey as k from orders join lineitem on l_orderkey = o_orderkey) join part on p_partkey = k group by 1""")
+def populate_array_all(t):
+    return _parts_of_customers(t, t("orders"))
+
+
 @frame("""select coalesce(a.k, b.k) as k, coalesce(b.v, a.v) as v, a.w as w from (select c_custkey as k, c_acctbal as v, c_name as w from customer where c_custkey < 1000) a
 full join (select s_suppkey * 12 as k, s_acctbal as v from supplier) b on a.k = b.k""")
 def merge_upsert(t):

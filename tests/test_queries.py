@@ -53,3 +53,8 @@ def test_unknown_names_raise(spark):
     for stages in ([{"$nope": 1}], [{"$match": {"id": {"$nope": 1}}}], [{"$project": {"a": {"$nope": 1}}}], [{"$group": {"_id": None, "a": {"$nope": 1}}}], [{"$match": {}, "$limit": 1}]):
         with pytest.raises(ValueError):
             aggregate(df, stages)
+
+
+def test_populate_array_takes_every_customer_with_orders(spark, sf):
+    ids = {r.o_custkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect()}
+    assert {r._id for r in queries.QUERIES["populate_array_all"](spark, sf).select("_id").collect()} == ids and max(ids) >= 50
