@@ -178,6 +178,15 @@ def merge_upsert(t):
     return merged(old, t("supplier").select((F.col("s_suppkey") * 12).alias("k"), F.col("s_acctbal").alias("v")), "k", "merge", "insert")
 
 
+@frame("""select coalesce(a.k, b.k) as k, coalesce(b.v, a.v) as v, a.w as w from (select c_custkey as k, c_acctbal as v, c_name as w from customer) a
+full join (select case when s_suppkey % 4 = 0 then -1 - s_suppkey else s_suppkey end as k, s_acctbal as v from supplier) b on a.k = b.k""")
+def merge_upsert_all(t):
+    old = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("w"))
+    # A quarter of the suppliers gets keys that no customer has, whatever the tables' sizes.
+    key = F.when(F.col("s_suppkey") % 4 == 0, -1 - F.col("s_suppkey")).otherwise(F.col("s_suppkey"))
+    return merged(old, t("supplier").select(key.alias("k"), F.col("s_acctbal").alias("v")), "k", "merge", "insert")
+
+
 @frame("""select a.k, a.v from (select c_custkey as k, c_acctbal as v from customer) a""")
 def merge_keep_discard(t):
     old = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
@@ -305,6 +314,11 @@ def query_distinct(t):
     return Query(lambda: t("orders"), conditions={"o_custkey": {"$lt": 30}}).distinct("o_orderpriority")
 
 
+@frame("""select distinct o_orderpriority from orders""")
+def query_distinct_all(t):
+    return Query(lambda: t("orders")).distinct("o_orderpriority")
+
+
 @frame("""select p_partkey, contains(lower(p_name), 'red')::int + contains(lower(p_brand), 'red')::int + contains(lower(p_type), 'red')::int + contains(lower(p_name), 'ring')::int + contains(lower(p_brand), 'ring')::int + contains(lower(p_type), 'ring')::int as score from part where p_size < 10""")
 def query_meta_score(t):
     return Query(lambda: t("part"), conditions={"p_size": {"$lt": 10}}).meta("score", "red ring").select("p_partkey score").df()

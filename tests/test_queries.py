@@ -58,3 +58,14 @@ def test_unknown_names_raise(spark):
 def test_populate_array_takes_every_customer_with_orders(spark, sf):
     ids = {r.o_custkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect()}
     assert {r._id for r in queries.QUERIES["populate_array_all"](spark, sf).select("_id").collect()} == ids and max(ids) >= 50
+
+
+def test_merge_upsert_takes_every_customer_and_inserts(spark, sf):
+    customers = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
+    rows = queries.QUERIES["merge_upsert_all"](spark, sf).collect()
+    assert customers <= {r.k for r in rows} and {r.k for r in rows if r.w is None}.isdisjoint(customers) and any(r.w is None for r in rows)
+
+
+def test_distinct_takes_every_order(spark, sf):
+    found = {r[0] for r in queries.QUERIES["query_distinct_all"](spark, sf).collect()}
+    assert found == {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority").collect()}
