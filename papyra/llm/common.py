@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
@@ -151,21 +152,30 @@ def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, size: str, total
 
 #: Characters of text that a classifier is fitted on, at most; what bounds the driver's memory where texts are long.
 SAMPLE_CHARS = 100_000_000
+#: Texts of more characters come after all others in the sample, so that a few long ones don't crowd out the rest.
+SAMPLE_LONG = 100_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS, long: int = SAMPLE_LONG) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``rows`` labelled documents outside fold 0, the first by a hash of their id, and of
-    these as many as come to ``chars`` characters.
+    these as many as come to ``chars`` characters, those longer than ``long`` last.
 
-    The bounds make the sample safe to collect. Null ids and labels are left out; of a text's copies one remains.
+    The bounds make the sample safe to collect. Texts that the bound on characters leaves out are warned of; if it
+    leaves out a label's every text, ValueError is raised. Null ids and labels are left out; of a text's copies one
+    remains.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold(F.col(id_col)) != 0))
     chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
     # At most `rows` documents (and rows that repeat their ids) are in this window.
-    total = F.sum(F.length("_text")).over(W.orderBy(F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = found.withColumn("_total", total).where(F.col("_total") <= chars).collect()
-    unique = {r._text: r._y for r in sorted(found, key=lambda r: r._id)}
+    total = F.sum(F.length("_text")).over(W.orderBy(F.length("_text") > long, F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = found.withColumn("_total", total).select("_id", "_y", F.when(F.col("_total") <= chars, F.col("_text")).alias("_text")).collect()
+    held = [r for r in found if r._text is not None]
+    if len(held) < len(found):
+        if lost := {r._y for r in found} - {r._y for r in held}:
+            raise ValueError(f"no text with {label} {sorted(lost)} fits the sample's {chars} characters")
+        warnings.warn(f"{len(found) - len(held)} of {len(found)} texts with {label} don't fit the sample's {chars} characters", stacklevel=2)
+    unique = {r._text: r._y for r in sorted(held, key=lambda r: r._id)}
     return list(unique), list(unique.values())
 
 

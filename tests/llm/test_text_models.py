@@ -14,9 +14,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from papyra.llm import bpe, lm, quality, toxicity
-from papyra.llm.common import fold
+from papyra.llm.common import fold, labelled_sample
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -246,3 +247,14 @@ def test_lm_counts_ngrams_of_rare_words(spark, sizes):
     rows = [(i, " ".join(r.choice(phrases) for _ in range(20))) for i in range(200)]
     found = [(d.doc_id, round(d.score, 5)) for d in lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), **sizes).collect()]
     assert sorted(found) == sorted(scores_by_definition(rows))
+
+
+def test_long_texts_leave_room_in_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    first = labels.where(fold(labels.doc_id) != 0).selectExpr("doc_id").orderBy(F.xxhash64("doc_id")).first()[0]
+    docs = spark.createDataFrame([(i, "x" * 5000 if i == first else f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    with pytest.warns(UserWarning, match="1 of"):
+        texts, known = labelled_sample(docs, labels, "quality", 100, chars=1000, long=500)
+    assert sorted(texts) == sorted(f"text {i}" for i in range(40) if crc(i) != 0 and i != first) and set(known) == {0, 1}
+    with pytest.raises(ValueError, match="no text with quality"):
+        labelled_sample(docs, labels, "quality", 100, chars=0)
