@@ -18,6 +18,8 @@ SCHEMAS = {
 }
 MAX_SCHEMAS = 500
 _TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY%", "object": "OBJECT%", "null": "VOID"}
+#: Keywords of schemas that say nothing about what is valid.
+_NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly"}
 _MESSAGE = "content string, tool_call_id string, tool_calls array<struct<id: string, name: string, arguments: string>>"
 
 
@@ -25,13 +27,28 @@ def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _check(name: str, schema: Mapping) -> None:
+    """ValueError for what isn't compiled, which would pass unseen otherwise."""
+    if (other := set(schema) - {"type", "required", "properties"} - _NOTES) or schema.get("type", "object") != "object":
+        raise ValueError(f"schema of {name}: {sorted(other) or 'a type other than object'} can't be checked")
+    for key, rule in schema.get("properties", {}).items():
+        if not isinstance(rule, Mapping) or (other := set(rule) - {"type", "enum"} - _NOTES):
+            raise ValueError(f"schema of {name}, property {key}: {sorted(other) if isinstance(rule, Mapping) else rule} can't be checked")
+        if "type" in rule and (not isinstance(rule["type"], str) or rule["type"] not in {*_TYPES, "number"}):
+            raise ValueError(f"schema of {name}, property {key}: type {rule['type']} can't be checked")
+        if "enum" in rule and not rule["enum"]:
+            raise ValueError(f"schema of {name}, property {key}: an empty enum can't be checked")
+
+
 def faults_of(schemas: Mapping[str, dict], call: str = "c") -> str:
     """SQL for the number of faults of a call: an unknown tool, arguments that aren't an object, and each missing
-    required or mistyped property. Schemas are compiled into the plan: type, required and enum of properties."""
+    required or mistyped property. Schemas are compiled into the plan: type, required and enum of properties; any other
+    keyword that restricts values raises ValueError."""
     if len(schemas) > MAX_SCHEMAS:
         raise ValueError(f"{len(schemas)} schemas; at most {MAX_SCHEMAS} are compiled into the plan")
     cases = ""
     for name, schema in sorted(schemas.items()):
+        _check(name, schema)
         terms = ["0"]
         required = set(schema.get("required", ()))
         for key, rule in sorted({**{k: {} for k in required}, **schema.get("properties", {})}.items()):
@@ -60,7 +77,8 @@ def link_tool_calls(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     earliest turn counts. link: 'call' (it makes calls), 'linked' or 'orphan' (a result with or without its call),
     else 'none'. (place, level, turn) is a topological order: a result never precedes its call: place is the later of
     the turn and its call's turn, level is 1 for linked results, else 0. n_invalid counts calls whose arguments don't
-    fit the schema of their tool (or whose tool is unknown); n_unanswered those without a result. message is canonical
+    fit the schema of their tool (or whose tool is unknown; schemas with keywords other than type, required, properties
+    and enum raise ValueError); n_unanswered those without a result. message is canonical
     JSON: keys sorted, no spaces, no nulls; arguments too, if they are JSON, else a string.
 
     Null and empty texts are empty content; null conversations, turns and identifiers match nothing. Repeated messages

@@ -235,3 +235,16 @@ def test_exact_stage_keeps_the_largest_id(spark, tmp_path):
     docs = spark.createDataFrame([(1, "A b"), (5, "a B"), (5, "other"), (None, "a b")], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, docs, str(tmp_path)).collect()) == [(5, "a B"), (5, "other")]
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("schema", [
+    {"additionalProperties": False}, {"type": "array"}, {"properties": {"a": {"type": "integer", "minimum": 1}}}, {"properties": {"a": {"type": "string", "pattern": "x"}}},
+    {"properties": {"a": {"type": "object", "properties": {}}}}, {"properties": {"a": {"type": "array", "items": {"type": "string"}}}}, {"properties": {"a": {"type": ["string", "null"]}}}, {"properties": {"a": False}},
+])
+def test_schema_keywords_that_are_not_checked_raise(schema):
+    with pytest.raises(ValueError, match="can't be checked"):
+        tool_calls.faults_of({"t": schema})
+
+
+def test_notes_in_schemas_are_no_rules():
+    assert tool_calls.faults_of({"t": {"type": "object", "description": "d", "properties": {"a": {"type": "number", "title": "x"}}}})
