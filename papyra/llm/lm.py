@@ -1,8 +1,9 @@
-"""LM scoring by a weighted backoff automaton over words."""
+"""LM scoring by a weighted backoff automaton over words, learnt from all n-grams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import checkpoint, fold, read, ship, worker_cache
-
-#: The most frequent words, which the automaton knows by number: the bound of what is broadcast (8 bytes each, and a count).
-HEAD = 1 << 18
-#: Words that take part in bigrams and in trigrams: dense tables of BI**2 and TRI**3 counts bound the automaton.
-BI, TRI = 1024, 100
-DISCOUNT, ADD = 0.75, 0.5
-#: Words that a task counts before it hands on partial counts.
-FLUSH = 1_000_000
-#: Words of documents that are looked up together.
-CHUNK = 1 << 18
-#: Words of the documents that ask together, and training words for each bucket that answers.
-ASK, BUCKET = 1_000_000, 2_000_000
+from papyra.llm.common import fold, read, ship, worker_cache, written
+
+ADD = 0.5
+#: Weight of the shorter context in words, for bigrams and trigrams (Dirichlet priors).
+MU = (1000.0, 5.0)
+#: Words of the documents that ask together, and bytes of text for each bucket that answers.
+CHUNK, BUCKET = 1_000_000, 16 << 20
+#: Bits by which fingerprints of bigrams and trigrams exceed what numbers them all: one in 2**SPARE is mistaken for another.
+SPARE = 20
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 class Hashes(dict):
@@ -47,358 +45,276 @@ def token_hashes(text: str) -> np.ndarray:
     return out
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(token hashes, tokens per document) of some documents at a time; a document is never split."""
-    held, sizes, n = [], [], 0
-    for value in column:
-        h = token_hashes(value.as_py())
-        held.append(h)
-        sizes.append(len(h))
-        n += len(h)
-        if n >= CHUNK:
-            yield np.concatenate(held), np.array(sizes)
-            held, sizes, n = [], [], 0
-    if held:
-        yield np.concatenate(held), np.array(sizes)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        h, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        return h, np.bincount(back, weights=np.concatenate([c for _, c in held]), minlength=len(h)).astype(np.int64)
-
-    def rows(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["_h", "_c"])
-
-    for batch in batches:
-        for tokens, _ in _chunks(batch.column(0)):
-            held.append(np.unique(tokens, return_counts=True))
-            if sum(len(h) for h, _ in held) > 2 * FLUSH:
-                held = [merged()]
-                if len(held[0][0]) > FLUSH:
-                    yield rows(*held.pop())
-    if held:
-        yield rows(*merged())
-
-
-def _ids(sorted_heads: np.ndarray, rank: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Rank of each token among the heads by count; -1: none."""
-    if not len(sorted_heads):
-        return np.full(len(tokens), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_heads, tokens), len(sorted_heads) - 1)
-    return np.where(sorted_heads[at] == tokens, rank[at], -1)
-
-
-def _contexts(ids: np.ndarray, sizes: np.ndarray, back: int) -> np.ndarray:
-    """ids of the token `back` places before, within the document; -1 where there is none."""
-    out = np.full(len(ids), -1, np.int64)
-    out[back:] = ids[:-back]
-    start = np.cumsum(sizes) - sizes
-    for k in range(back):
-        out[(start + k)[sizes > k]] = -1
-    return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x = (x ^ (x >> np.uint64(27))) * _C
+    return x ^ (x >> np.uint64(31))
 
 
-def _count_grams(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, rank = held.value
-        two, three = np.zeros(BI * BI, np.int64), np.zeros(TRI**3, np.int64)
-        after = np.zeros(TRI * TRI, np.int64)  # how often a trigram context is followed by anything
-        for batch in batches:
-            for tokens, sizes in _chunks(batch.column(0)):
-                w = _ids(heads, rank, tokens)
-                v, u = _contexts(w, sizes, 1), _contexts(w, sizes, 2)
-                ok = (v >= 0) & (v < BI) & (w >= 0) & (w < BI)
-                two += np.bincount(v[ok] * BI + w[ok], minlength=BI * BI)
-                known = (u >= 0) & (u < TRI) & (v >= 0) & (v < TRI)
-                after += np.bincount(u[known] * TRI + v[known], minlength=TRI * TRI)
-                ok = known & (w >= 0) & (w < TRI)
-                three += np.bincount((u[ok] * TRI + v[ok]) * TRI + w[ok], minlength=TRI**3)
-        for kind, table in enumerate((two, three, after)):
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(table[at])], ["_kind", "_k", "_c"])
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers by planes of bytes, compressed; planes of zeros at the top go."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    k = x.itemsize
+    while k > 1 and not planes[k - 1].any():
+        k -= 1
+    body = planes[:k].tobytes()
+    return len(x).to_bytes(8, "little") + bytes([k]) + pa.compress(body, "zstd", asbytes=True)
 
-    return run
 
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    n, k = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = np.frombuffer(pa.decompress(blob[9:], n * k, "zstd", asbytes=True), np.uint8).reshape(k, n)
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :k] = planes.T
+    return out.reshape(-1).view(kind)
 
-class Automaton:
-    """The model over frequent words alone, in dense tables; `lm_scores` takes all words and doesn't use it.
 
-    States are the empty context, the BI most frequent words and pairs of the TRI most frequent ones.
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
-    An n-gram that was seen is an arc with its discounted, interpolated probability; for other words a state's
-    failure arc costs the logarithm of its backoff weight and leads to the state of the shorter context. All arcs
-    are dense tables, so a traversal is an array lookup per token, whose state is the last two words.
-    """
 
-    def __init__(self, heads: np.ndarray, counts: np.ndarray, total: int, distinct: int, grams: dict[int, tuple[np.ndarray, np.ndarray]]):
-        order = np.argsort(heads)
-        self.heads, self.rank = heads[order], order
-        self.log_total = np.log10(total + ADD * (distinct + 1))
-        self.base = np.log10(counts + ADD) - self.log_total
-        uni = 10.0**self.base
-        two, three, after = (np.zeros(n) for n in (BI * BI, TRI**3, TRI * TRI))
-        for table, kind in ((two, 0), (three, 1), (after, 2)):
-            if kind in grams:
-                table[grams[kind][0]] = grams[kind][1]
-        k = min(BI, len(counts))
-        follow = np.zeros(BI)
-        follow[:k] = counts[:k]
-        if len(heads) and (end := np.flatnonzero(heads == np.uint64(END))).size and end[0] < BI:
-            follow[end[0]] = 0  # nothing follows an end
-        small = np.zeros(BI)
-        small[:k] = uni[:k]
-        self.two, self.fail_two = self._arcs(two.reshape(BI, BI), follow, np.broadcast_to(small, (BI, BI)))
-        lower = self.two[:TRI, :TRI]
-        with np.errstate(divide="ignore"):
-            lower = np.where(np.isnan(lower), self.fail_two[:TRI, None] + np.log10(small[:TRI])[None, :], lower)
-        self.three, self.fail_three = self._arcs(three.reshape(TRI * TRI, TRI), after, np.tile(10.0**lower, (TRI, 1)))
-        self.two, self.three = self.two.ravel(), self.three.ravel()
-
-    @staticmethod
-    def _arcs(seen: np.ndarray, follow: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability of each arc, nan where none; log weight of each failure arc)."""
-        follow = np.maximum(follow, seen.sum(axis=1))
-        kept = np.maximum(seen - DISCOUNT, 0)
-        weight = np.where(follow > 0, 1 - kept.sum(axis=1) / np.maximum(follow, 1), 1.0)
-        p = kept / np.maximum(follow, 1)[:, None] + weight[:, None] * lower
-        with np.errstate(divide="ignore"):
-            return np.where(seen > 0, np.log10(p), np.nan), np.log10(np.maximum(weight, 1e-12))
-
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        return _ids(self.heads, self.rank, tokens)
-
-    def traverse(self, w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token: the log probability without the unigram's part of unknown words, and the base one (likewise)."""
-        v, u = _contexts(w, sizes, 1), _contexts(w, sizes, 2)
-        known = w >= 0
-        base = np.where(known, self.base[np.maximum(w, 0)] if len(self.base) else 0.0, 0.0)
-        out = base.copy()
-        state = (v >= 0) & (v < BI)
-        out[state] += self.fail_two[v[state]]
-        arc = state & known & (w < BI)
-        found = self.two[v[arc] * BI + w[arc]]
-        out[arc] = np.where(np.isnan(found), out[arc], found)
-        state = (u >= 0) & (u < TRI) & (v >= 0) & (v < TRI)
-        pair = u[state] * TRI + v[state]
-        out[state] += self.fail_three[pair]
-        arc = state & known & (w < TRI)
-        found = self.three[(u[arc] * TRI + v[arc]) * TRI + w[arc]]
-        out[arc] = np.where(np.isnan(found), out[arc], found)
-        return out, base
-
-
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    """A bijection of 64-bit numbers, another for each seed (splitmix64)."""
-    x = x + np.uint64(0x9E3779B97F4A7C15 * seed & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
 class Grams:
-    """The distinct words, bigrams and trigrams of some documents, each a continuation of a context.
+    """The distinct words, and fingerprints of the distinct bigrams and trigrams, of a chunk of documents, in order.
 
-    ctx holds hashes of the distinct contexts (words as contexts of themselves, then words, then bigrams), lens the
-    distinct continuations of each, next their words. Made again from the same words it is the same.
+    token is the word of each place; two and three number the bigram and trigram that end there, -1 where there is none.
     """
 
-    def __init__(self, words: np.ndarray, w: np.ndarray, sizes: np.ndarray, buckets: int):
-        n = len(words)
-        start = np.cumsum(sizes) - sizes
-        place = np.arange(len(w)) - np.repeat(start, sizes)
-        self.w, self.at_two, self.at_three = w, np.flatnonzero(place > 0), np.flatnonzero(place > 1)
-        two, of_two = np.unique(w[self.at_two - 1] * n + w[self.at_two], return_inverse=True)
-        self.two = np.full(len(w), -1, np.int64)
-        self.two[self.at_two] = of_two
-        three, self.three = np.unique(self.two[self.at_three - 1] * n + w[self.at_three], return_inverse=True)
-        self.lower = np.zeros(len(three), np.int64)  # the bigram that a trigram ends with
-        self.lower[self.three] = self.two[self.at_three]
-        one_ctx, one_lens = np.unique(two // n, return_counts=True)
-        two_ctx, two_lens = np.unique(three // n, return_counts=True)
-        pair = two[two_ctx]
-        both = _mixed(words[pair // n], 1) ^ _mixed(words[pair % n], 2)
-        self.ctx = np.concatenate([_mixed(words, 3), _mixed(words[one_ctx], 4), _mixed(both, 5)])
-        self.lens = np.concatenate([np.ones(n, np.int64), one_lens, two_lens])
-        self.next = np.concatenate([np.zeros(n, np.int64), two % n, three % n])
-        self.sizes = (n, len(two), len(three))
-        bucket = ((self.ctx >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
-        self.ctx_order = np.argsort(bucket, kind="stable")
-        self.gram_order = np.argsort(np.repeat(bucket, self.lens), kind="stable")
-        self.ctx_ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        self.gram_ends = np.cumsum(np.bincount(np.repeat(bucket, self.lens), minlength=buckets))
-
-    def counts(self, trained: np.ndarray) -> np.ndarray:
-        n = self.sizes
-        parts = (self.w, trained), (self.two[self.at_two], trained[self.at_two]), (self.three, trained[self.at_three])
-        return np.concatenate([np.bincount(k[on], minlength=m) for (k, on), m in zip(parts, n, strict=True)])
-
-
-def _ask(chunk: int, buckets: int):
-    """Rows of a chunk of documents: what it holds, and for each bucket its contexts, their continuations and counts."""
-
-    def rows(number: int, ids: list[pa.Array], tokens: np.ndarray, sizes: np.ndarray, train: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        words, w = np.unique(tokens, return_inverse=True)
-        g = Grams(words, w, sizes, buckets)
-        ids = pa.concat_arrays(ids)
-        many = g.counts(np.repeat(train, sizes))[g.gram_order].astype(np.int32)
-        ctx, lens = g.ctx[g.ctx_order], g.lens[g.ctx_order].astype(np.int32)
-        following = np.concatenate([np.zeros(len(words), np.uint64), words[g.next[len(words) :]]])[g.gram_order]
-        state = [words.tobytes(), w.astype(np.int32).tobytes(), sizes.astype(np.int64).tobytes(), None]
-        yield _row(number % buckets, number, state, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
-        a = b = 0
-        for k in range(buckets):
-            if (to := g.ctx_ends[k]) > a:
-                til = g.gram_ends[k]
-                yield _row(k, number, [ctx[a:to].tobytes(), lens[a:to].tobytes(), following[b:til].tobytes(), many[b:til].tobytes()], pa.nulls(1, pa.list_(kind)))
-                a, b = to, til
+    def __init__(self, words: np.ndarray, token: np.ndarray, sizes: np.ndarray, bits: int):
+        self.words, self.token, self.sizes = words, token, sizes
+        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at_two, at_three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+        h = words[token]
+        pair = np.zeros(len(h), np.uint64)
+        pair[1:] = _mixed(h[:-1] * _A + h[1:])
+        triple = _mixed(pair[at_three - 1] * _C + h[at_three] + _A)
+        self.grams, inverse = np.unique(np.concatenate([pair[at_two], triple]) >> np.uint64(64 - bits), return_inverse=True)
+        self.two, self.three = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
+        self.two[at_two], self.three[at_three] = inverse[: len(at_two)], inverse[len(at_two) :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _chunks(size: int, columns: list[str]) -> Callable:
+    """Batches of (_id, _text, ...) as chunks of about `size` words: (number, columns, words, token, sizes). A document is never split.
+
+    Chunks are numbered by partition and place, alike in every pass over the same table.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         number = TaskContext.get().partitionId() << 32
-        ids, held, sizes, train, n = [], [], [], [], 0
+        held: list[np.ndarray] = []
+        kept: list[list[pa.Array]] = [[] for _ in columns]
+        n = 0
+
+        def chunk() -> tuple:
+            words, token = np.unique(np.concatenate(held), return_inverse=True)
+            return number, [pa.concat_arrays(k) for k in kept], words, token, np.fromiter(map(len, held), np.int64, len(held))
+
         for batch in batches:
             done = 0
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column("_text")):
                 held.append(token_hashes(text.as_py()))
-                sizes.append(len(held[-1]))
-                train.append(batch.column(2)[i].as_py())
-                n += sizes[-1]
-                if n >= chunk:
-                    yield from rows(number, [*ids, batch.column(0).slice(done, i + 1 - done)], np.concatenate(held), np.array(sizes), np.array(train), batch.column(0).type)
-                    number, done = number + 1, i + 1
-                    ids, held, sizes, train, n = [], [], [], [], 0
+                n += len(held[-1])
+                if n >= size:
+                    for k, c in zip(kept, columns, strict=True):
+                        k.append(batch.column(c).slice(done, i + 1 - done))
+                    yield chunk()
+                    number, done, held, kept, n = number + 1, i + 1, [], [[] for _ in columns], 0
             if done < batch.num_rows:
-                ids.append(batch.column(0).slice(done))
+                for k, c in zip(kept, columns, strict=True):
+                    k.append(batch.column(c).slice(done))
         if held:
-            yield from rows(number, ids, np.concatenate(held), np.array(sizes), np.array(train), ids[0].type)
+            yield chunk()
+
+    return of
+
+
+_ASKED = pa.schema([("_bucket", pa.int32()), ("_chunk", pa.int64()), ("_words", pa.binary()), ("_grams", pa.binary()), ("_counts", pa.binary())])
+_ASKED_SQL = "_bucket int, _chunk bigint, _words binary, _grams binary, _counts binary"
+_ANSWER = pa.schema([("_bucket", pa.int32()), ("_chunk", pa.int64()), ("_words", pa.binary()), ("_grams", pa.binary()), ("_tokens", pa.int64()), ("_types", pa.int64())])
+_ANSWER_SQL = "_bucket int, _chunk bigint, _words binary, _grams binary, _tokens bigint, _types bigint"
+
+
+def _ask(size: int, buckets: int, bits: int) -> Callable:
+    """For each chunk and each bucket (a range of hashes): the words and fingerprints that fall there, with their counts in learnt text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (train,), words, token, sizes in _chunks(size, ["_train"])(batches):
+            g = Grams(words, token, sizes, bits)
+            learnt = np.repeat(train.to_numpy(zero_copy_only=False), sizes)
+            of_words = np.bincount(token[learnt], minlength=len(words)).astype(np.uint32)
+            both = np.concatenate([k[learnt & (k >= 0)] for k in (g.two, g.three)])
+            of_grams = np.bincount(both, minlength=len(g.grams)).astype(np.uint32)
+            edges = [(k << 64) // buckets for k in range(1, buckets)]
+            cut = np.concatenate([[0], np.searchsorted(words, np.array(edges, np.uint64)), [len(words)]])
+            cut_grams = np.concatenate([[0], np.searchsorted(g.grams, np.array([e >> 64 - bits for e in edges], np.uint64)), [len(g.grams)]])
+            for k in range(buckets):
+                a, b, c, d = cut[k], cut[k + 1], cut_grams[k], cut_grams[k + 1]
+                if a < b or c < d:
+                    blobs = pack_sorted(words[a:b]), pack_sorted(g.grams[c:d]), pack(np.concatenate([of_words[a:b], of_grams[c:d]]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((k, number, *blobs), _ASKED.types, strict=True)], schema=_ASKED)
 
     return run
 
 
-_ASKED = ["_bucket", "_chunk", "_a", "_b", "_c", "_d", "_ids"]
+def _answer(asked: pa.Table) -> pa.Table:
+    """Sums a bucket's counts and answers each chunk in the order in which it asked. The first row of a bucket has its totals."""
+    words = [unpack_sorted(b.as_py()) for b in asked["_words"]]
+    grams = [unpack_sorted(b.as_py()) for b in asked["_grams"]]
+    counts = [unpack(b.as_py(), np.uint32) for b in asked["_counts"]]
 
+    def summed(keys: list[np.ndarray], parts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        # Sums of integers, exact in doubles up to 2**53.
+        total = np.bincount(at, weights=np.concatenate(parts), minlength=len(found)).astype(np.uint64)
+        return np.split(total[at], np.cumsum([len(k) for k in keys])[:-1]), total
 
-def _row(bucket: int, chunk: int, blobs: list[bytes | None], ids: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), ids], _ASKED)
+    first, total = summed(words, [c[: len(w)] for w, c in zip(words, counts, strict=True)])
+    second, _ = summed(grams, [c[len(w) :] for w, c in zip(words, counts, strict=True)])
+    blobs = [pa.array([pack(x) for x in part], pa.binary()) for part in (first, second)]
+    rest = [0] * (len(first) - 1)
+    return pa.table([asked["_bucket"], asked["_chunk"], *blobs, pa.array([int(total.sum()), *rest], pa.int64()), pa.array([int((total > 0).sum()), *rest], pa.int64())], schema=_ANSWER)
 
 
-def _joined(blobs: list[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
+def _hold(size: int) -> Callable:
+    """What a chunk needs to be scored: its ids, the words of its places, the sizes of its documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (ids,), words, token, sizes in _chunks(size, ["_id"])(batches):
+            rank = np.argsort(-np.bincount(token), kind="stable")  # small numbers for frequent words
+            number_of = np.empty(len(words), np.uint32)
+            number_of[rank] = np.arange(len(words), dtype=np.uint32)
+            blobs = pack_sorted(words), pack(number_of[token]), pack(rank.astype(np.uint32)), pack(sizes.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)],
+                ["_chunk", "_words", "_token", "_rank", "_sizes", "_ids"],
+            )
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Sums the counts of a bucket and answers every chunk: a count for each continuation, and for each context what
-    follows it in all and how many different words do. What chunks hold passes unchanged."""
-    own = pa.compute.is_valid(table["_ids"])
-    asked = table.filter(pa.compute.invert(own))
-    if not len(asked):
-        return table
-    held = table.filter(own)
-    ctx, of = np.unique(_joined(asked["_a"].to_pylist(), np.uint64), return_inverse=True)
-    lens = _joined(asked["_b"].to_pylist(), np.int32)
-    words, following = np.unique(_joined(asked["_c"].to_pylist(), np.uint64), return_inverse=True)
-    gram, at = np.unique(np.repeat(of, lens) * len(words) + following, return_inverse=True)
-    # Sums of integers, exact in doubles up to 2**53.
-    count = np.bincount(at, weights=_joined(asked["_d"].to_pylist(), np.int32), minlength=len(gram))
-    follow = np.bincount(gram // len(words), weights=count, minlength=len(ctx))
-    types = np.bincount(gram // len(words), weights=count > 0, minlength=len(ctx))
-    a, b, c = [], [], []
-    x = y = 0
-    for n, m in zip(pa.compute.binary_length(asked["_a"]).to_pylist(), pa.compute.binary_length(asked["_c"]).to_pylist(), strict=True):
-        mine, gone = of[x : x + n // 8], at[y : y + m // 8]
-        a.append(count[gone].astype(np.int64).tobytes())
-        b.append(follow[mine].astype(np.int64).tobytes())
-        c.append(types[mine].astype(np.int64).tobytes())
-        x, y = x + n // 8, y + m // 8
-    answers = pa.table([asked["_bucket"], asked["_chunk"], *(pa.array(v, pa.binary()) for v in (a, b, c)), pa.nulls(len(asked), pa.binary()), asked["_ids"]], schema=table.schema)
-    return pa.concat_tables([held, answers])
+    return run
 
 
-def interpolated(count: np.ndarray, follow: np.ndarray, types: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Discounted probabilities; the mass that is left goes to the shorter context, all of it where this one wasn't seen."""
-    n = np.maximum(follow, 1)
-    return np.where(follow > 0, np.maximum(count - DISCOUNT, 0) / n + DISCOUNT * types / n * lower, lower)
+class Automaton:
+    """The states and arcs that the documents of a chunk can take.
 
+    Each n-gram that was seen is an arc from the state of its context, with its smoothed log probability, to the state of
+    its own longest part that can be a context. Words not seen after a state leave it by its failure arc, which costs the
+    logarithm of the context's weight and leads to the state of the shorter context; the empty context takes any word.
+    Arcs and states share numbers: a word, then grams (bigrams and trigrams mixed), then the empty context.
+    """
 
-def _score(buckets: int, log_total: float):
+    def __init__(self, g: Grams, counts: np.ndarray, total: int, distinct: int, mu: tuple[float, float] = MU):
+        n, end = len(g.words), len(counts)
+        self.empty = end
+        c = counts.astype(float)
+        two, three = np.flatnonzero(g.two >= 0), np.flatnonzero(g.three >= 0)
+        lower, context = np.full(end + 1, end), np.full(end + 1, end)
+        lower[n + g.two[two]], context[n + g.two[two]] = g.token[two], g.token[two - 1]
+        lower[n + g.three[three]], context[n + g.three[three]] = n + g.two[three], n + g.two[three - 1]
+        bigrams, trigrams = np.unique(g.two[two]) + n, np.unique(g.three[three]) + n
+        p = np.zeros(end)
+        p[:n] = (c[:n] + ADD) / (total + ADD * (distinct + 1))
+        weight = np.ones(end + 1)
+        weight[:n] = mu[0] / (c[:n] + mu[0])
+        weight[bigrams] = mu[1] / (c[bigrams] + mu[1])
+        for grams, m in ((bigrams, mu[0]), (trigrams, mu[1])):
+            p[grams] = (c[grams] + m * p[lower[grams]]) / (c[context[grams]] + m)
+        self.base = np.log10(p[:n])
+        to = np.arange(end + 1)
+        to[trigrams] = lower[trigrams]
+        to[:n][counts[:n] == 0] = end
+        pairs = np.zeros(end + 1, np.int8)
+        pairs[bigrams] = 1
+        # Arrays of plain numbers are read one by one faster than NumPy's.
+        self.log, self.weight, self.to, self.fail, self.pairs = (array(t, x.tobytes()) for t, x in (("d", np.log10(p)), ("d", np.log10(weight)), ("q", to), ("q", lower), ("b", pairs)))
+        # The arcs that leave states of two words, one and none at each place; -1 where the n-gram wasn't seen.
+        seen = np.append(counts > 0, False)
+        self.arcs = *(np.where((k >= 0) & seen[n + k], n + k, -1) for k in (g.three, g.two)), g.token
+
+    def traverse(self, first: int, last: int) -> float:
+        """The log probability of the words from place first to last (a document), from left to right."""
+        log, weight, to, fail, pairs = self.log, self.weight, self.to, self.fail, self.pairs
+        empty = state = self.empty
+        total = 0.0
+        for three, two, one in zip(*(a[first:last].tolist() for a in self.arcs), strict=True):
+            if state != empty:
+                if pairs[state]:
+                    if three >= 0:
+                        total += log[three]
+                        state = to[three]
+                        continue
+                    total += weight[state]
+                    state = fail[state]
+                if two >= 0:
+                    total += log[two]
+                    state = to[two]
+                    continue
+                total += weight[state]
+            total += log[one]
+            state = to[one]
+        return total
+
+
+def _score(bits: int, total: int, distinct: int) -> Callable:
     """A row for each document of a chunk, from what the chunk holds and the answers to it."""
 
-    def run(table: pa.Table) -> pa.Table:
-        own = pa.compute.is_valid(table["_ids"])
-        mine = table.filter(own)
-        found = table.filter(pa.compute.invert(own)).sort_by("_bucket")
-        words, w, sizes = (np.frombuffer(mine[c][0].as_py(), t) for c, t in (("_a", np.uint64), ("_b", np.int32), ("_c", np.int64)))
-        w = w.astype(np.int64)
-        g = Grams(words, w, sizes, buckets)
-        count, follow, types = np.empty(len(g.next)), np.empty(len(g.ctx)), np.empty(len(g.ctx))
-        count[g.gram_order] = _joined(found["_a"].to_pylist(), np.int64)
-        follow[g.ctx_order] = _joined(found["_b"].to_pylist(), np.int64)
-        types[g.ctx_order] = _joined(found["_c"].to_pylist(), np.int64)
-        follow, types = np.repeat(follow, g.lens), np.repeat(types, g.lens)
-        n, m, _ = g.sizes
-        one = np.log10(count[:n] + ADD) - log_total
-        two = interpolated(count[n : n + m], follow[n : n + m], types[n : n + m], 10.0 ** one[g.next[n : n + m]])
-        three = interpolated(count[n + m :], follow[n + m :], types[n + m :], two[g.lower])
-        base = one[w]
-        score = base.copy()
-        score[g.at_two] = np.log10(two)[g.two[g.at_two]]
-        score[g.at_three] = np.log10(three)[g.three]
+    def run(answers: pa.Table, own: pa.Table) -> pa.Table:
+        words = unpack_sorted(own["_words"][0].as_py())
+        token = unpack(own["_rank"][0].as_py(), np.uint32)[unpack(own["_token"][0].as_py(), np.uint32)].astype(np.int64)
+        sizes = unpack(own["_sizes"][0].as_py(), np.uint64).astype(np.int64)
+        g = Grams(words, token, sizes, bits)
+        answers = answers.sort_by("_bucket")
+        of_words, of_grams = (np.concatenate([np.empty(0, np.uint64), *(unpack(b.as_py(), np.uint64) for b in answers[c])]) for c in ("_words", "_grams"))
+        if len(of_words) != len(words) or len(of_grams) != len(g.grams):
+            raise ValueError("the documents were read differently in two passes; write them to a table first")
+        auto = Automaton(g, np.concatenate([of_words, of_grams]), total, distinct)
         first = np.cumsum(sizes) - sizes
-        known = np.add.reduceat((count[:n] > 0)[w].astype(np.int64), first)
-        return pa.table([mine["_ids"].combine_chunks().flatten(), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))], ["_id", "_n", "_known", "_base", "_score"])
+        known = np.add.reduceat((of_words > 0)[token].astype(np.int64), first)
+        score = [auto.traverse(a, b) for a, b in zip(first.tolist(), (first + sizes).tolist(), strict=True)]
+        base = np.add.reduceat(auto.base[token], first)
+        return pa.table([own["_ids"].combine_chunks().flatten(), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score, pa.float64())], ["_id", "_n", "_known", "_base", "_score"])
 
     return run
 
 
-def frequent(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the most frequent words, at most `most` of them, by count and hash.
-
-    Words are cut by a histogram of the counts' logarithms, so neither a sort of all words nor their counts are collected.
-    """
-    bucket = F.floor(F.log2("_c") * 64)
-    left, cut = most, None
-    for r in sorted(counts.groupBy(bucket.alias("b")).count().collect(), key=lambda r: -r.b):
-        left -= r["count"]
-        if left < 0:
-            break
-        cut = r.b
-    if cut is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    found = counts.where(bucket >= cut).toPandas()
-    h, c = found["_h"].to_numpy(np.int64).view(np.uint64), found["_c"].to_numpy(np.int64)
-    order = np.lexsort((h, -c))
-    return h[order], c[order]
-
-
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int | None = 1, folds: int = 5, head: int = HEAD, chunk: int = ASK, bucket: int = BUCKET) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int | None = 1, folds: int = 5, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Words are runs without ASCII white space, A-Z lower-cased, then one end. The model learns from the rows whose
     crc32(id as text) mod folds isn't held_out_fold (None: from all). base_score uses smoothed unigrams of all words;
-    score trigrams and bigrams of all words, discounted and interpolated, down to the same unigrams.
-
-    Nothing of the model is collected, broadcast or left out. Each chunk of documents (about `chunk` words) sends its
-    distinct n-grams with their counts to the buckets of their contexts (about `bucket` training words each, so their
-    number grows with the corpus); a bucket sums what it gets and answers each chunk, which then scores its documents.
-    Null texts are empty (one end token); null ids are in fold crc32(''); rows that repeat an id each get their own
-    row; an empty table gives an empty result; other columns are ignored. `head` bounded a broadcast of words that is
-    no longer made; it has no effect.
+    score the automaton of all trigrams, bigrams and words, each smoothed by the next shorter (Dirichlet priors MU), down
+    to the same unigrams.
+
+    Nothing of the model is collected, broadcast or left out. Each chunk of documents (about `chunk` words) asks the
+    buckets of a hash range (about `bucket` bytes of text each, so their number grows with the corpus) for its distinct
+    n-grams, with the counts that it has itself; a bucket sums what it gets and answers each chunk. The answers, written
+    as a table, meet the chunk's words, which are read again; so df must read alike each time, as a table does (a frame
+    whose rows move between reads raises ValueError). Words are told apart by 64-bit hashes, longer n-grams by
+    fingerprints of which one in 2**SPARE meets another's.
+
+    Null texts are empty (one end token); null ids are in fold crc32(''); rows that repeat an id each get their own row;
+    an empty table gives an empty result; other columns are ignored. A document is never split: a worker holds some 150
+    bytes for each of its words.
     """
     spark = df.sparkSession
     ship(spark)
     source = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
     train = F.lit(True) if held_out_fold is None else fold(F.col("_id"), folds) != held_out_fold
-    counts = source.where(train).select("_text").mapInArrow(_count_words, "_h bigint, _c bigint").groupBy("_h").agg(F.sum("_c").alias("_c"))
-    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    buckets = 1 + total.n // bucket
-    log_total = float(np.log10(total.n + ADD * (total.v + 1)))
-
-    schema = f"_bucket int, _chunk bigint, _a binary, _b binary, _c binary, _d binary, _ids array<{kind}>"
-    asked = source.select("_id", "_text", train.alias("_train")).mapInArrow(_ask(chunk, buckets), schema)
-    out = asked.groupBy("_bucket").applyInArrow(_answer, schema).groupBy("_chunk").applyInArrow(_score(buckets, log_total), f"_id {kind}, _n bigint, _known bigint, _base double, _score double")
+    size = source.agg(F.coalesce(F.sum(F.octet_length("_text") + 1), F.lit(0)).alias("n")).first().n
+    buckets = 1 + size // bucket
+    bits = min(64, (size + 1).bit_length() + SPARE)  # a text has fewer bigrams and trigrams, together, than bytes
+
+    # Both passes read the same columns, so that they are dealt to partitions alike.
+    source = source.select("_id", "_text", train.alias("_train"))
+    asked = source.mapInArrow(_ask(chunk, buckets, bits), _ASKED_SQL)
+    answers = written(asked.groupBy("_bucket").applyInArrow(_answer, _ANSWER_SQL))
+    total = answers.agg(F.coalesce(F.sum("_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("_types"), F.lit(0)).alias("v")).first()
+    own = source.mapInArrow(_hold(chunk), f"_chunk bigint, _words binary, _token binary, _rank binary, _sizes binary, _ids array<{kind}>")
+    out = answers.select("_chunk", "_bucket", "_words", "_grams").groupBy("_chunk").cogroup(own.groupBy("_chunk"))
+    out = out.applyInArrow(_score(bits, total.n, total.v), f"_id {kind}, _n bigint, _known bigint, _base double, _score double")
     held = fold(F.col("_id"), folds) == held_out_fold if held_out_fold is not None else F.lit(False)
     return out.select(
         F.col("_id").alias(id_col), held.alias("held_out"), F.col("_n").alias("n_tokens"), F.col("_known").alias("n_known"),
@@ -408,4 +324,3 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read(spark, sf_dir, "documents"))
-

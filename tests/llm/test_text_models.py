@@ -123,9 +123,9 @@ def found_lm(df):
     return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("head", [lm.HEAD, 8])
-def test_lm_on_odd_rows(odd, odd_rows, nothing, head):
-    assert found_lm(lm.lm_scores(odd, head=head)) == lm_by_definition(odd_rows)
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 1, "bucket": 50}])
+def test_lm_on_odd_rows(odd, odd_rows, nothing, sizes):
+    assert found_lm(lm.lm_scores(odd, **sizes)) == lm_by_definition(odd_rows)
     assert lm.lm_scores(nothing).collect() == []
 
 
@@ -133,35 +133,30 @@ def test_lm_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     out = lm.op5_lm(spark, sf)
     assert found_lm(out) == lm_by_definition(rows)
+    wanted = dict(scores_by_definition(rows))
+    assert all(r.score == pytest.approx(wanted[r.doc_id], abs=1e-4) for r in out.collect())
     held = [r for r in out.collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # contexts tell something about texts not seen
 
 
 def test_lm_probabilities_add_up(spark):
-    """In every context the arcs, and what the failure arc leaves for the other words, make 1."""
+    """In every context the probabilities of all words, the end and one unknown word make 1."""
     r = random.Random(6)
-    text = lambda: " ".join(f"w{int(r.paretovariate(1)) % 40}" for _ in range(30))
-    rows = [(i, text()) for i in range(60)]
+    rows = [(i, " ".join(f"w{int(r.paretovariate(1)) % 40}" for _ in range(30))) for i in range(75) if crc(i) != 1]
     words = sorted({w for _, t in rows for w in t.split()})
-    context = ["w1 w2", "w1 w1", "w3", "w2 w7", "unseen"]
-    everything = spark.createDataFrame(rows, "doc_id bigint, text string")
-    counts = lm.checkpoint(everything.select("text").mapInArrow(lm._count_words, "_h bigint, _c bigint").groupBy("_h").agg({"_c": "sum"}).withColumnRenamed("sum(_c)", "_c"))
-    heads, many = lm.frequent(counts)
-    order = np.argsort(heads)
-    grams = everything.select("text").mapInArrow(lm._count_grams(spark.sparkContext.broadcast((heads[order], order))), "_kind int, _k bigint, _c bigint").groupBy("_kind", "_k").sum("_c").toPandas()
-    grams.columns = ["_kind", "_k", "_c"]
-    auto = lm.Automaton(heads, many, int(many.sum()), len(many), {int(k): (g["_k"].to_numpy(), g["_c"].to_numpy()) for k, g in grams.groupby("_kind")})
-    for c in context:
-        total = 0.0
-        before = len(c.split())
-        for w in [*words, ""]:
-            tokens = lm.token_hashes(f"{c} {w}".strip())
-            score, _ = auto.traverse(auto.ids(tokens), np.array([len(tokens)]))
-            total += 10 ** score[before]
-        unseen = auto.ids(lm.token_hashes(f"{c} neverseen"))
-        score, _ = auto.traverse(unseen, np.array([len(unseen)]))
-        total += 10 ** (score[before] + math.log10(lm.ADD) - auto.log_total)
-        assert total == pytest.approx(1, abs=1e-6), c
+    contexts = ["", "w1 w2", "w1 w1", "w3", "w2 w7", "unseen", "w1 unseen"]
+    asked = [f"{c} {w}".strip() for c in contexts for w in [*words, "neverseen"]] + contexts
+    known = [i for i in range(10**6) if crc(i) == 1][: len(asked)]
+    found = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame([*rows, *zip(known, asked, strict=True)], "doc_id bigint, text string")).collect()}
+    by_text = {t: found[i].score for i, t in zip(known, asked, strict=True)}
+    grams = scores_by_definition([*rows, *((i, t) for i, t in zip(known, asked, strict=True))])
+    assert dict(grams) == {i: round(x.score, 5) for i, x in found.items()}
+    p = probabilities([*rows, *zip(known, asked, strict=True)])
+    for c in contexts:
+        before = [w for w in c.split()][-2:]
+        assert sum(p((*before, w)) for w in [*words, None, "neverseen"]) == pytest.approx(1, abs=1e-9), c
+        prefix = sum(math.log10(p(tuple(c.split()[max(0, j - 2) : j + 1]))) for j in range(len(c.split())))
+        assert by_text[c] == pytest.approx(prefix + math.log10(p((*before, None))), abs=1e-6)
 
 
 def tiktoken_of():
@@ -216,30 +211,33 @@ def test_perfect_hash():
     assert all(table.get(k) == v for k, v in keys.items()) and table.get(b"x") is None and table.n == 2000
 
 
-def scores_by_definition(rows, held_out=1):
-    """Interpolated trigrams of all words, by the formulas, without any table of frequent words."""
-    texts = [[*(t or "").translate(LOWER).split(), None] for _, t in rows]
-    grams, after, types = collections.Counter(), collections.Counter(), collections.Counter()
-    for (i, _), t in zip(rows, texts, strict=True):
+def probabilities(rows, held_out=1):
+    """p(context and word), by the formulas: Dirichlet priors from trigrams to bigrams to unigrams of all words."""
+    grams = collections.Counter()
+    for i, t in rows:
         if crc(i) != held_out:
+            t = [*(t or "").translate(LOWER).split(), None]
             for k in range(3):
                 grams.update(tuple(t[j - k : j + 1]) for j in range(k, len(t)))
-    for g, c in grams.items():
-        after[g[:-1]] += c
-        types[g[:-1]] += 1
-    n, v = after[()], types[()]
+    words = {g: c for g, c in grams.items() if len(g) == 1}
+    n, v = sum(words.values()), len(words)
 
     def p(g):
         if len(g) == 1:
             return (grams[g] + 0.5) / (n + 0.5 * (v + 1))
-        if not after[g[:-1]]:
-            return p(g[1:])
-        return (max(grams[g] - 0.75, 0) + 0.75 * types[g[:-1]] * p(g[1:])) / after[g[:-1]]
+        m = lm.MU[len(g) - 2]
+        return (grams[g] + m * p(g[1:])) / (grams[g[:-1]] + m)
+
+    return p
 
+
+def scores_by_definition(rows, held_out=1):
+    p = probabilities(rows, held_out)
+    texts = [[*(t or "").translate(LOWER).split(), None] for _, t in rows]
     return [(i, round(sum(math.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t))), 5)) for (i, _), t in zip(rows, texts, strict=True)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk": 700, "bucket": 3000}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 700, "bucket": 9000}])
 def test_lm_counts_ngrams_of_rare_words(spark, sizes):
     """Words beyond the 1,024 most frequent ones, in fixed phrases: bigrams and trigrams of all of them count."""
     r = random.Random(9)
