@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.bpe import round_trip
-from papyra.llm.common import fresh, read, row_key, without, written
-from papyra.llm.decontaminate import decontaminate
+from papyra.llm.common import read, row_key, without, written
+from papyra.llm.decontaminate import contamination, is_contaminated
 from papyra.llm.exact_dedup import exact_dedup
 from papyra.llm.near_dedup import near_dedup
 from papyra.llm.quality import keep_good
@@ -34,10 +34,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows don't cover to a twentieth or more."""
-    key = fresh("_key", docs.columns)
-    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    found = decontaminate(keyed, read(spark, sf_dir, "benchmark"), id_col=key, carry=True)
-    return found.where("not contaminated").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    key = row_key(F.col("doc_id"), F.col("text"))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return without(docs, found.where(is_contaminated()).select(F.col("_id").alias("_dropped")), key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,13 +163,14 @@ def hits_by_definition(docs, items, window=13):
             windows[tuple(w[i : i + window])].add("" if key is None else str(key))
     out = []
     for key, text in docs:
-        w, hit, found = words_of(text), set(), set()
+        w, hit, found, longest = words_of(text), set(), set(), 0
         for n in {len(x) for x in windows}:
             for i in range(len(w) - n + 1):
                 if (x := tuple(w[i : i + n])) in windows:
                     hit |= set(range(i, i + n))
                     found |= windows[x]
-        out.append((key, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                    longest = max(longest, n)
+        out.append((key, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), longest))
     return sorted(out, key=repr)
 
 
@@ -184,7 +185,7 @@ def test_decontamination(spark, odd_rows, monkeypatch, most):
     names = ["row", "_id", "_all", "_found", "item_id"]
     df = spark.createDataFrame([(*d, *("x" for _ in names)) for d in docs], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id bigint, text string, `_words` string")
-    found = decontaminate.decontaminate(df, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontaminate.decontaminate(df, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
     assert sorted(map(tuple, found.collect()), key=repr) == hits_by_definition(docs, items)
     assert decontaminate.decontaminate(df.limit(0), bench).collect() == []
     assert {x.n_hit for x in decontaminate.decontaminate(df, bench.limit(0)).collect()} == {0}
@@ -205,7 +206,7 @@ def test_pipeline_against_the_stages_one_by_one(spark, sf):
     kept = docs.where(docs.doc_id.isin(sorted(first.values())))
     near = {r.doc_id for r in near_dedup(kept, n=5).where("kept").collect()}
     bench = [tuple(r) for r in read(spark, sf, "benchmark").select("item_id", "text").collect()]
-    clean = {i for i, *_, bad in hits_by_definition([(i, rows[i]) for i in near], bench) if not bad}
+    clean = {i for i, *_, bad, longest in hits_by_definition([(i, rows[i]) for i in near], bench) if not bad}
     wanted = {tuple(r) for r in bpe.round_trip(docs.where(docs.doc_id.isin(sorted(clean)))).collect()}
     found = corpus_pipeline.run(spark, sf).collect()
     assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
