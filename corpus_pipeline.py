@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm.bpe import round_trip
 from papyra.llm.common import read, row_key, without, written
-from papyra.llm.decontaminate import contamination, is_contaminated
+from papyra.llm.decontaminate import WINDOW, contamination, is_contaminated
 from papyra.llm.exact_dedup import exact_dedup
 from papyra.llm.near_dedup import near_dedup
 from papyra.llm.quality import keep_good
@@ -33,10 +33,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows don't cover to a twentieth or more."""
+    """Documents without a whole window of benchmark words, of which shorter items cover less than a twentieth."""
     key = row_key(F.col("doc_id"), F.col("text"))
     found = contamination(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(is_contaminated()).select(F.col("_id").alias("_dropped")), key)
+    return without(docs, found.where(is_contaminated() | (F.col("longest") >= WINDOW)).select(F.col("_id").alias("_dropped")), key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,12 +206,23 @@ def test_pipeline_against_the_stages_one_by_one(spark, sf):
     kept = docs.where(docs.doc_id.isin(sorted(first.values())))
     near = {r.doc_id for r in near_dedup(kept, n=5).where("kept").collect()}
     bench = [tuple(r) for r in read(spark, sf, "benchmark").select("item_id", "text").collect()]
-    clean = {i for i, *_, bad, longest in hits_by_definition([(i, rows[i]) for i in near], bench) if not bad}
+    clean = {i for i, *_, bad, longest in hits_by_definition([(i, rows[i]) for i in near], bench) if not bad and longest < 13}
     wanted = {tuple(r) for r in bpe.round_trip(docs.where(docs.doc_id.isin(sorted(clean)))).collect()}
     found = corpus_pipeline.run(spark, sf).collect()
     assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
 
 
+def test_no_benchmark_passage_stays(spark, tmp_path):
+    """A passage of 13 words goes even in a long text, and of an item of fewer words only what is mostly that."""
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(1, item), (2, "the cat")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(5000))
+    passage, short = " ".join(item.split()[4:17]), " ".join(item.split()[4:16])
+    docs = [(1, f"{long} {passage} {long}"), (2, f"{long} {short} {long}"), (3, f"{long} the cat"), (4, "the cat sat"), (5, None), (6, long)]
+    kept = corpus_pipeline.clean(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6]
+
+
 def test_stages_on_odd_rows(spark, odd, tmp_path):
     """Stages keep all columns, whatever their names, and take null ids, repeated ids and an empty table."""
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
