@@ -161,13 +161,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     these as many as come to ``chars`` characters, those longer than ``long`` last.
 
     The bounds make the sample safe to collect. Texts that the bound on characters leaves out are warned of; if it
-    leaves out a label's every text, ValueError is raised. Null ids and labels are left out; of a text's copies one
-    remains.
+    leaves out a label's every text, ValueError is raised. Null ids and labels are left out; of an id's texts, and of a
+    text's copies, one remains.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold(F.col(id_col)) != 0))
     chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
-    # At most `rows` documents (and rows that repeat their ids) are in this window.
+    # Of rows that repeat an id one text stays, which tasks find out before anything moves; so at most `rows` are in this window.
+    found = found.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text"))
     total = F.sum(F.length("_text")).over(W.orderBy(F.length("_text") > long, F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, W.currentRow))
     found = found.withColumn("_total", total).select("_id", "_y", F.when(F.col("_total") <= chars, F.col("_text")).alias("_text")).collect()
     held = [r for r in found if r._text is not None]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ SAMPLE = 4000
 THRESHOLD = 0.3
 #: Documents whose lines are labelled together; bounds a worker's memory with CHUNK_CHARS.
 CHUNK_DOCS, CHUNK_CHARS = 512, 2_000_000
+#: Lines, and bytes, whose features are held at once; a longer text is labelled over blocks of lines. Lines learnt from, at most.
+BLOCK_LINES, BLOCK_BYTES, FIT_LINES = 4096, 1 << 20, 150_000
+_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
 _CLASSES = 10
 _TABLE = np.full(256, 9, np.int64)  # other printable ASCII
@@ -30,28 +37,43 @@ _TABLE[[ord(c) for c in "#$%&*@^~"]] = 7
 _TABLE[[ord(c) for c in "|<>{}[]=+\\/_"]] = 8
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line with its neighbours', line lengths in bytes, lines per document)."""
-    raw = [t.encode() for t in texts]
-    per_doc = [r.split(b"\n") for r in raw]
-    counts = np.array([len(x) for x in per_doc], np.int64)
-    lines = [x for doc in per_doc for x in doc]
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    body = np.frombuffer(b"".join(lines), np.uint8)
-    at = np.repeat(np.arange(len(lines)), length)
-    classes = np.bincount(at * _CLASSES + _TABLE[body], minlength=len(lines) * _CLASSES).reshape(-1, _CLASSES).astype(np.float64)
-    words = np.empty((len(lines), 2))
-    repeated = np.empty(len(lines))
+def _class_counts(lines: list[bytes]) -> np.ndarray:
+    """Bytes of each class in each line, a bounded number of bytes at a time."""
+    out = np.zeros((len(lines), _CLASSES))
     i = 0
-    for doc in per_doc:
-        seen: dict[bytes, int] = {}
-        for x in doc:
-            seen[x] = seen.get(x, 0) + 1
-        for x in doc:
-            w = x.split()
-            words[i] = len(w), len(set(w))
-            repeated[i] = seen[x] > 1 and len(x) > 0
-            i += 1
+    while i < len(lines):
+        j, held = i, 0
+        while j < len(lines) and (j == i or held + len(lines[j]) <= BLOCK_BYTES):
+            held += len(lines[j])
+            j += 1
+        if j == i + 1:
+            for k in range(0, held, BLOCK_BYTES):
+                out[i] += np.bincount(_TABLE[np.frombuffer(lines[i][k : k + BLOCK_BYTES], np.uint8)], minlength=_CLASSES)
+        else:
+            at = np.repeat(np.arange(j - i), np.fromiter(map(len, lines[i:j]), np.int64, j - i))
+            body = np.frombuffer(b"".join(lines[i:j]), np.uint8)
+            out[i:j] = np.bincount(at * _CLASSES + _TABLE[body], minlength=(j - i) * _CLASSES).reshape(-1, _CLASSES)
+        i = j
+    return out
+
+
+def _words(line: bytes) -> tuple[int, int]:
+    """(words, distinct words); those of a long line aren't held all at once."""
+    if len(line) <= BLOCK_BYTES:
+        w = line.split()
+        return len(w), len(set(w))
+    n, seen = 0, set()
+    for m in _WORD.finditer(line):
+        n += 1
+        seen.add(xxhash.xxh3_64_intdigest(m[0]))
+    return n, len(seen)
+
+
+def _own_features(lines: list[bytes], repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each line by itself, lengths in bytes)."""
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    classes = _class_counts(lines)
+    words = np.array([_words(x) for x in lines], float).reshape(-1, 2)
     n = np.maximum(length, 1.0)
     share = classes / n[:, None]
     alpha = np.maximum(classes[:, 0] / 2 + classes[:, 1] + classes[:, 2], 1)
@@ -62,13 +84,58 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         length == 0, words[:, 0] < 4, upper > 0.3, share[:, 6] > 0.02, share[:, 7] > 0.02, share[:, 7] > 0.1, share[:, 8] > 0.02, share[:, 3] > 0.1,
         distinct < 0.7, distinct < 0.4, (share[:, 5] < 0.005) & (words[:, 0] > 12), share[:, 5] > 0.05,
     ]).astype(np.float64)
-    first = np.zeros(len(lines), bool)
-    first[np.cumsum(counts)[:-1]] = True
-    first[:1] = True
+    return own, length
+
+
+def _with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A constant, each line's features, those of the lines before and after it in its document, and whether it is first or last."""
     last = np.roll(first, -1)
     before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
     before[first], after[last] = 0, 0
-    return np.column_stack([np.ones(len(lines)), own, before, after, first, last]), length, counts
+    return np.column_stack([np.ones(len(own)), own, before, after, first, last])
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line with its neighbours', line lengths in bytes, lines per document)."""
+    per_doc = [t.encode().split(b"\n") for t in texts]
+    counts = np.array([len(x) for x in per_doc], np.int64)
+    repeated: list[bool] = []
+    for doc in per_doc:
+        seen = Counter(doc)
+        repeated += [seen[x] > 1 and len(x) > 0 for x in doc]
+    own, length = _own_features([x for doc in per_doc for x in doc], np.array(repeated, bool))
+    first = np.zeros(len(own), bool)
+    first[(np.cumsum(counts) - counts)] = True
+    return _with_neighbours(own, first), length, counts
+
+
+def line_blocks(text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, lengths) of some lines of one document at a time, the same as line_features gives; few lines are held."""
+    raw = text.encode()
+    ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), len(raw))
+    starts = np.append(0, ends[:-1] + 1)
+
+    def lines(a: int, b: int) -> list[bytes]:
+        return raw[starts[a] : ends[b - 1]].split(b"\n")
+
+    def hashes(part: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
+
+    everything = np.empty(len(ends), np.uint64)
+    for a in range(0, len(ends), size):
+        b = min(a + size, len(ends))
+        everything[a:b] = hashes(lines(a, b))
+    everything.sort()
+    twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
+    del everything
+    for a in range(0, len(ends), size):
+        b = min(a + size, len(ends))
+        c, d = max(a - 1, 0), min(b + 1, len(ends))  # with the neighbours
+        part = lines(c, d)
+        own, length = _own_features(part, np.isin(hashes(part), twice) & (ends[c:d] > starts[c:d]))
+        first = np.zeros(d - c, bool)
+        first[0] = True  # what it takes for first or last without being so is cut off
+        yield _with_neighbours(own, first)[a - c : d - c - (d - b)], length[a - c : d - c - (d - b)]
 
 
 def marginals(emission: np.ndarray, transition: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,11 +175,32 @@ def marginals(emission: np.ndarray, transition: np.ndarray, counts: np.ndarray)
     return p[:, 1], pairs, z
 
 
+def _fitted(texts: list[str], y: list[int], most: int = FIT_LINES) -> list[int]:
+    """Which texts the field is fitted on: as many as come to `most` lines, those with over a hundredth of that last.
+
+    A label all of whose texts would be left out raises ValueError.
+    """
+    lines = [t.count("\n") + 1 for t in texts]
+    kept, total = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: (lines[i] > most // 100, i)):
+        total += lines[i]
+        if total > most:
+            break
+        kept.append(i)
+    if lost := set(y) - {y[i] for i in kept}:
+        raise ValueError(f"no text with label {sorted(lost)} fits the {most} lines that are learnt from")
+    if len(kept) < len(texts):
+        warnings.warn(f"{len(texts) - len(kept)} of {len(texts)} labelled texts don't fit the {most} lines that are learnt from", stacklevel=3)
+    return sorted(kept)
+
+
 def fit(texts: list[str], y: list[int], rounds: int = 200, l2: float = 1e-3) -> dict:
     """Conditional likelihood of the lines' labels (each has its document's), weighted so that documents count alike."""
     target = np.array(y, float)
     if len(set(y)) < 2:
         return {"prior": float(np.clip(target.mean() if len(y) else 0.5, 0.01, 0.99))}
+    at = _fitted(texts, y)
+    texts, target = [texts[i] for i in at], target[at]
     x, length, counts = line_features(texts)
     mean, dev = x.mean(axis=0), x.std(axis=0)
     mean[0], dev = 0, np.where(dev < 1e-9, 1, dev)
@@ -149,14 +237,77 @@ def _aggregate(model: dict, x: np.ndarray, length: np.ndarray, counts: np.ndarra
     return np.column_stack([np.ones(len(m)), np.log(m / (1 - m)), free])
 
 
+def long_marginals(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one document, as `marginals`, message by message: two numbers for each line are held."""
+    m = np.exp(transition - transition.max())
+    (a, b), (c, d) = m.tolist()
+    forward = np.empty(len(emission))
+    good = 0.0  # share of the message that says good
+    for at in range(0, len(emission), BLOCK_LINES):
+        out = []
+        for i, e in enumerate(np.exp(np.clip(emission[at : at + BLOCK_LINES], -300, 300)).tolist()):
+            if at + i == 0:
+                x, y = 1.0, e
+            else:
+                x, y = (1 - good) * a + good * c, ((1 - good) * b + good * d) * e
+            good = y / (x + y)
+            out.append(good)
+        forward[at : at + BLOCK_LINES] = out
+    back = 0.5
+    for at in range((len(emission) - 1) // BLOCK_LINES * BLOCK_LINES, -1, -BLOCK_LINES):
+        out = []
+        for e, f in zip(np.exp(np.clip(emission[at : at + BLOCK_LINES], -300, 300)).tolist()[::-1], forward[at : at + BLOCK_LINES].tolist()[::-1], strict=True):
+            y = f * back
+            out.append(y / (y + (1 - f) * (1 - back)))
+            x, y = 1 - back, back * e
+            x, y = a * x + b * y, c * x + d * y
+            back = y / (x + y)
+        forward[at : at + BLOCK_LINES] = out[::-1]
+    return forward
+
+
+def _long_aggregate(model: dict, text: str) -> np.ndarray:
+    """_aggregate's row of one document, over blocks of its lines."""
+    emissions, weights = [], []
+    for x, length in line_blocks(text, BLOCK_LINES):
+        emissions.append(((x - model["mean"]) / model["dev"]) @ model["w"])
+        weights.append(length + 1.0)
+    emission, weight = np.concatenate(emissions), np.concatenate(weights)
+    m = np.clip((long_marginals(emission, model["t"]) * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+    return np.array([1.0, np.log(m / (1 - m)), (np.clip(emission, -20, 20) * weight).sum() / weight.sum()])
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[int, int, bool]]:
+    """(from, to, long): texts that together have at most BLOCK_LINES lines and BLOCK_BYTES characters, or a single longer one."""
+    start = lines = size = 0
+    for i, t in enumerate(texts):
+        n = t.count("\n") + 1
+        long = n > BLOCK_LINES or len(t) > BLOCK_BYTES
+        if i > start and (long or lines + n > BLOCK_LINES or size + len(t) > BLOCK_BYTES):
+            yield start, i, False
+            start, lines, size = i, 0, 0
+        if long:
+            yield i, i + 1, True
+            start = i + 1
+        else:
+            lines, size = lines + n, size + len(t)
+    if start < len(texts):
+        yield start, len(texts), False
+
+
 def score(model: dict, texts: list[str]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     if "prior" in model:
         return np.full(len(texts), model["prior"])
-    x, length, counts = line_features(texts)
-    out = _aggregate(model, (x - model["mean"]) / model["dev"], length, counts) @ model["a"]
-    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    found = []
+    for a, b, long in _groups(texts):
+        if long:
+            found.append(_long_aggregate(model, texts[a])[None])
+        else:
+            x, length, counts = line_features(texts[a:b])
+            found.append(_aggregate(model, (x - model["mean"]) / model["dev"], length, counts))
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(found) @ model["a"], -30, 30)))
 
 
 def chunks(column: pa.Array, docs: int = CHUNK_DOCS, chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
@@ -208,7 +359,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weighted by line length, make the document's score, calibrated to the probability of label 1. It is fitted on at
     most `sample` labelled documents outside fold 0. Null texts count as empty (one empty line). With no labelled
     rows, or labels of one kind, the score is the labels' mean (0.5 without any). Null ids are in fold crc32('') and
-    never learnt from; repeated rows score alike; an empty table gives an empty result; other columns are ignored.
+    never learnt from; repeated rows score alike; an empty table gives an empty result; other columns are ignored. Texts
+    of many lines are labelled over blocks of BLOCK_LINES with messages carried between them, some 40 bytes for each line.
     """
     model = fit(*labelled_sample(docs, labels, label, sample, id_col, text_col))
     out = score_documents(docs, model, id_col, text_col)
