@@ -74,6 +74,43 @@ def test_classifiers_on_held_out_rows(spark, query, column, least):
     assert sum(wins) / len(wins) >= least
 
 
+def test_texts_of_many_lines_score_by_blocks():
+    """Blocks with carried messages give what the whole gives; lines repeat across blocks."""
+    r = random.Random(12)
+    line = lambda: " ".join(r.choice(["the", "of", "Word", "12", "##", "été", "x;"]) for _ in range(r.randrange(9)))
+    texts = ["\n".join(line() for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    model = quality.fit(texts, [i % 2 for i in range(60)], rounds=20)
+    long = "\n".join(line() for _ in range(3 * quality.BLOCK_LINES + 17))
+    x, length, counts = quality.line_features([long])
+    blocks = list(quality.line_blocks(long, 1000))
+    assert np.allclose(np.concatenate([b for b, _ in blocks]), x) and (np.concatenate([n for _, n in blocks]) == length).all()
+    p, _, _ = quality.marginals(((x - model["mean"]) / model["dev"]) @ model["w"], model["t"], counts)
+    assert np.allclose(quality.long_marginals(((x - model["mean"]) / model["dev"]) @ model["w"], model["t"]), p)
+    whole = quality._aggregate(model, (x - model["mean"]) / model["dev"], length, counts) @ model["a"]
+    assert quality.score(model, ["a", long, "", texts[0]])[1] == pytest.approx(1 / (1 + math.exp(-whole[0])))
+    assert quality.score(model, ["a", long, "", texts[0]])[3] == pytest.approx(quality.score(model, [texts[0]])[0])
+
+
+def test_memory_for_texts_of_many_lines():
+    """A million short lines, and a million words in one line, are scored in bounded memory."""
+    import tracemalloc
+
+    model = quality.fit(["Good words, in a line.\nAnd more of them."] * 3 + ["## @@ ||\n12 12"] * 3, [1, 1, 1, 0, 0, 0], rounds=5)
+    for text in ("ab\n" * 1_000_000, "ab " * 1_000_000):
+        tracemalloc.start()
+        assert 0 <= quality.score(model, [text])[0] <= 1
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+        tracemalloc.stop()
+
+
+def test_lines_learnt_from_are_bounded():
+    texts = ["a\nb"] * 10 + ["x\n" * 500] + ["c"]
+    with pytest.warns(UserWarning, match="1 of 12"):
+        assert quality._fitted(texts, [0] * 11 + [1], most=100) == [*range(10), 11]
+    with pytest.raises(ValueError, match="no text with label"):
+        quality._fitted(texts, [0] * 10 + [1, 0], most=100)
+
+
 def test_keep_good_keeps_rows_whole(odd, labels):
     kept = quality.keep_good(odd, labels, threshold=0.0)
     assert kept.columns == odd.columns and kept.count() == odd.count()
@@ -94,12 +131,30 @@ def segments_by_definition(x):
 def test_segments():
     r = random.Random(2)
     for _ in range(200):
-        n = r.randrange(1, 14)
-        x = [r.choice([0.0, 0.0, 3.0, 1.5, 5.25]) for _ in range(n)]
-        drift = -1.0625
-        whole = [v if v else drift for v in x]
-        at = np.flatnonzero(x)
-        assert [(a, b) for a, b, _ in toxicity.segments(at, np.array(x)[at], drift)] == [(a, b) for a, b, _ in segments_by_definition(whole)]
+        x = [r.choice([-1.0625, -1.0625, -0.5, 3.0, 1.5, 5.25]) for _ in range(r.randrange(1, 14))]
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(x))] == [(a, b) for a, b, _ in segments_by_definition(x)]
+    assert toxicity.segments(np.zeros(0)) == []
+
+
+def test_log_odds_by_definition():
+    """The share of toxic documents among those with a token, with its prefixes' as prior, one after another."""
+    counts = {b"good": [0, 30], b"good 4": [1, 40], b"goodness": [2, 2], b"goodn 5": [3, 3], b"bad": [9, 0]}
+    logit = lambda p: math.log(p / (1 - p))
+    four = (1 + 20 * 0.2) / (41 + 20)
+    five = (3 + 20 * four) / (6 + 20)
+    want = {b"good 4": four, b"goodn 5": five, b"goodness": (2 + 20 * five) / 24, b"good": 20 * four / 50, b"bad": (9 + 20 * 0.2) / 29}
+    assert toxicity.log_odds(counts, 20, 80) == pytest.approx({k: logit(p) - logit(0.2) for k, p in want.items()})
+    odds = toxicity.Odds(toxicity.log_odds(counts, 20, 80))
+    assert odds[b"goodnite"] == pytest.approx(logit(five) - logit(0.2) + toxicity.DRIFT) and odds[b"else"] == toxicity.DRIFT
+    assert toxicity.log_odds(counts, 20, 80, 1)[b"bad"] == pytest.approx(logit((8 + 20 * 19 / 99) / 28) - logit(19 / 99))
+
+
+def test_toxic_documents_are_told_at_the_threshold(spark):
+    """Precision and recall of held-out labels at sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    told = collections.Counter((known[r.doc_id], r.predicted) for r in toxicity.op10_toxicity(spark, sf).where("held_out").collect() if r.doc_id in known)
+    assert told[1, 1] / (told[1, 1] + told[1, 0]) >= 0.9 and told[1, 1] / (told[1, 1] + told[0, 1]) >= 0.95
 
 
 def test_toxic_passages_in_long_texts():
