@@ -146,6 +146,50 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(df.limit(0)).collect() == []
 
 
+def linked_by_definition(rows):
+    """(conversation, turn, content): (link, place, unanswered) of messages with one call or result each."""
+    made, out = collections.defaultdict(set), {}
+    for conv, turn, _, call, _ in rows:
+        if call is not None and conv is not None and turn is not None:
+            made[conv, call].add(turn)
+    at = {}
+    for conv, turn, _, _, got in rows:
+        if got is not None and conv is not None and turn is not None and (turns := made[conv, got]):
+            at[conv, got, turn] = max((t for t in turns if t <= turn), default=min(turns))
+    answered = {(conv, got, t) for (conv, got, _), t in at.items()}
+    for conv, turn, content, call, got in rows:
+        if call is not None:
+            out[conv, turn, content] = ("call", turn, int((conv, call, turn) not in answered))
+        else:
+            found = at.get((conv, got, turn))
+            out[conv, turn, content] = ("orphan", turn, 0) if found is None else ("linked", max(turn, found), 0)
+    return out
+
+
+def test_identifiers_that_are_used_again(spark):
+    """Against brute force: some conversations reuse identifiers, one holds most rows and one identifier; rows repeat."""
+    r = random.Random(3)
+    rows = []
+    for i in range(900):
+        conv, turn = r.choice([None, 1, 1, 1, 1, 2, 3, 4, 5]), r.choice([None, *range(60)])
+        key = "hot" if conv == 1 and r.random() < 0.7 else f"k{r.randrange(4)}"
+        rows.append((conv, turn, f"m{i}", *((key, None) if r.random() < 0.4 else (None, key))))
+    rows += rows[:50]
+    df = spark.createDataFrame([(c, t, "assistant" if a else "tool", call((a, "search", '{"query": "x"}'), content=m) if a else result(b, content=m)) for c, t, m, a, b in rows], "conv_id bigint, turn bigint, role string, text string")
+    found = tool_calls.link_tool_calls(df).collect()
+    assert len(found) == len(rows)
+    assert {(x.conv_id, x.turn, json.loads(x.message)["content"]): (x.link, x.place, x.n_unanswered) for x in found} == linked_by_definition(rows)
+
+
+def test_schemas(spark):
+    """Types, required and allowed values, for more tools than a person would write down."""
+    schemas = {f"t{i}": {"required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"enum": ["x", 1, None]}, "c": {"type": "number"}}} for i in range(700)} | {"free": {}}
+    given = [("t5", '{"a": 1}', 0), ("t699", '{"a": "1"}', 1), ("t0", "{}", 1), ("t1", '{"a": 1, "b": "x", "c": 1.5}', 0), ("t1", '{"a": 1, "b": 2}', 1), ("t1", '{"a": 1, "b": 1, "c": "z"}', 1), ("free", '{"z": []}', 0), ("free", "[1]", 1), ("none", "{}", 1), ("t2", None, 1), ("t2", "junk", 1)]
+    df = spark.createDataFrame([(i, 0, "assistant", call((f"k{i}", n, a))) for i, (n, a, _) in enumerate(given)], "conv_id bigint, turn bigint, role string, text string")
+    found = {x.conv_id: x.n_invalid for x in tool_calls.link_tool_calls(df, schemas=schemas).collect()}
+    assert found == {i: bad for i, (*_, bad) in enumerate(given)}
+
+
 def test_tool_call_query(spark, sf):
     assert differences(tool_calls.op8_tool_calls(spark, sf), sf, tool_calls.SQL) == ""
 
