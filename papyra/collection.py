@@ -12,12 +12,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from papyra.document import Document
 from papyra.functions.filters import _sure, compile_filter
-from papyra.functions.paths import Scope, name
+from papyra.functions.accumulators import pushed
+from papyra.functions.paths import Scope, name, resolve
 from papyra.functions.updates import compile_update
-from papyra.operators.relational import merged
+from papyra.operators.relational import directed, join_key, merged
 from papyra.plans.pipeline import Context, Pipeline
 from papyra.plans.query import Query, populated
 from papyra.schema import Schema, ValidationError
@@ -219,24 +221,38 @@ class Collection:
         return populated(df, path, rows, fields)
 
     def _virtual(self, df: DataFrame, path: str, options: Mapping[str, Any]) -> DataFrame:
-        """A virtual reference: the documents of ref whose foreign_field is this document's local_field."""
-        pipeline: list[dict] = []
+        """A virtual reference: the documents of ref whose foreign_field is this document's local_field.
+
+        What a match leaves out never joins; of the rest those that skip and limit leave over are chosen, by sort (_id
+        breaks ties), before they are collected.
+        """
+        other = self.database.collection(options["ref"])
+        key, rows = options["foreign_field"], other.df()
         if options.get("match"):
-            pipeline.append({"$match": options["match"]})
-        stage = {"from": options["ref"], "localField": options["local_field"], "foreignField": options["foreign_field"], "as": path, "pipeline": pipeline}
+            rows = rows.where(compile_filter(options["match"], Scope(rows)))
+        if options.get("count"):
+            rows = rows.select("_id", *([name(key)] if key != "_id" else []))
+        ways = list({**dict(options.get("sort") or {}), "_id": 1}.items())
+        skip, limit = options.get("skip", 0), 1 if options.get("just_one") else options.get("limit")
+        scope, shown = Scope(rows), rows.columns
+        rows = rows.withColumns({f"__order{i}": scope.path(k) for i, (k, _) in enumerate(ways)})
+        hidden = [(f"__order{i}", way) for i, (_, way) in enumerate(ways)]
+        if skip or limit is not None:
+            rank = F.row_number().over(W.partitionBy(name(key)).orderBy(*directed(hidden)))
+            last = skip + limit if limit is not None else 2**31 - 1
+            rows = rows.withColumn("__rank", rank).where((F.col("__rank") > skip) & (F.col("__rank") <= last)).drop("__rank")
+        fk, fkind = resolve(key, rows.schema)
+        lk, lkind = resolve(options["local_field"], df.schema)
+        rows = rows.withColumn("__fk", join_key(fk, fkind, lkind)).where("__fk is not null")
+        document = F.struct(*(name(c) for c in shown))
+        found = F.count(F.lit(1)).cast("int") if options.get("count") else pushed(document, hidden, Scope(rows))
+        found = rows.groupBy("__fk").agg(found.alias("__found"))
+        out = df.withColumn("__lk", join_key(lk, lkind, fkind)).join(found, F.col("__lk") == F.col("__fk"), "left")
         if options.get("count"):
-            stage["as"] = "_many"
-            return Pipeline(df, self.context(), ({"$lookup": stage}, {"$addFields": {path: {"$size": "$_many"}}}, {"$unset": "_many"})).run()
-        out = Pipeline(df, self.context(), ({"$lookup": stage},)).run()
-        held = name(path)
-        skip, limit = options.get("skip", 0), options.get("limit")
-        if sort := options.get("sort"):
-            ((key, way),) = sort.items()
-            compare = lambda a, b: F.when(a[key] < b[key], -way).when(a[key] > b[key], way).otherwise(0)
-            held = F.array_sort(held, compare)
-        if skip or limit:
-            held = F.slice(held, skip + 1, limit if limit is not None else 2**31 - 1 - skip)
-        return out.withColumn(path, F.get(held, 0) if options.get("just_one") else held)
+            held = F.coalesce("__found", F.lit(0))
+        else:
+            held = F.coalesce("__found", F.array().cast(found.schema["__found"].dataType))
+        return out.withColumn(path, F.get(held, 0) if options.get("just_one") else held).drop("__lk", "__fk", "__found")
 
     # Inserts.
     def create(self, docs: Mapping[str, Any] | list | None = None, *more: Mapping[str, Any]) -> Any:
@@ -303,13 +319,19 @@ class Collection:
     def bulk_save(self, docs: list[Any], ordered: bool = True) -> list:
         return self.create([d._plain() if isinstance(d, Document) else d for d in docs])
 
-    def insert_frame(self, df: DataFrame, check: bool = True) -> None:
-        """Append a DataFrame of any size: casts, defaults and validation as one plan; hooks don't run."""
+    def insert_frame(self, df: DataFrame, check: bool = True, batch: tuple[str, int] | None = None) -> None:
+        """Append a DataFrame of any size: casts, defaults, validation and unique fields as plans; hooks don't run.
+
+        batch: a stream's name and a batch's number; a batch that was appended before is left out.
+        """
+        if batch and self.store.seen(*batch):
+            return
         schema = self.schema or Schema()
         rows = schema.prepared(df)
         if check:
             schema.check(rows)
-        self.store.append(rows)
+            self._unique(rows)
+        self.store.append(rows, batch)
 
     # Updates.
     def _matched(self, conditions: Mapping[str, Any] | None, df: DataFrame) -> Column:
@@ -434,7 +456,11 @@ class Collection:
     find_by_id_and_remove = find_by_id_and_delete
 
     def bulk_write(self, operations: list[Mapping[str, Any]], ordered: bool = True) -> dict[str, int]:
-        """insertOne, updateOne, updateMany, replaceOne, deleteOne, deleteMany, one after the other."""
+        """insertOne, updateOne, updateMany, replaceOne, deleteOne, deleteMany, one after the other; one snapshot for all."""
+        with self.store.batch():
+            return self._bulk(operations, ordered)
+
+    def _bulk(self, operations: list[Mapping[str, Any]], ordered: bool) -> dict[str, int]:
         out = {"nInserted": 0, "nMatched": 0, "nModified": 0, "nUpserted": 0, "nRemoved": 0}
         errors: list[Exception] = []
         for operation in operations:

@@ -204,7 +204,7 @@ def _typed(column: Column, kind: T.DataType, value: Any) -> Column:
 
 def text_search(query: str, scope: Scope) -> Column:
     """Case-insensitive substring over the text-indexed fields, or all string fields."""
-    fields = scope.text_fields or [f.name for f in scope.schema.fields if isinstance(f.dataType, T.StringType)]
+    fields = scope.text_fields if scope.text_fields is not None else [f.name for f in scope.schema.fields if isinstance(f.dataType, T.StringType)]
     parts = [F.lower(scope.path(f)).contains(query.lower()) for f in fields]
     return reduce(lambda a, b: _sure(a) | _sure(b), parts) if parts else F.lit(False)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from papyra.functions.accumulators import compile_accumulator
+from papyra.functions.accumulators import ascending, compile_accumulator, pushed
 from papyra.functions.expressions import compile_expr, truthy
 from papyra.functions.filters import compile_filter, text_search
 from papyra.functions.geo import metres_between
@@ -19,6 +19,14 @@ from papyra.functions.paths import Scope, name, resolve
 from papyra.session import checkpoint
 
 
+#: Prefix of the hidden columns that carry the values of a $sort's keys, whatever later stages make of the fields.
+HIDDEN = "__order"
+
+
+def carried(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(HIDDEN)]
+
+
 def match(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
     return df.where(compile_filter(spec, ctx.scope(df)))
 
@@ -65,12 +73,12 @@ def project(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
                 out.append(column.alias(key))
         else:
             out.append(compile_expr(value, scope).alias(key))
-    return df.select(*out)
+    return df.select(*out, *carried(df))
 
 
 def replace_root(df: DataFrame, spec: Any, ctx) -> DataFrame:
     root = compile_expr(spec["newRoot"] if isinstance(spec, Mapping) and "newRoot" in spec else spec, ctx.scope(df))
-    return df.select(root.alias("_root")).where("_root is not null").select("_root.*")
+    return df.select(root.alias("_root"), *carried(df)).where("_root is not null").select("_root.*", *carried(df))
 
 
 def group(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
@@ -81,13 +89,20 @@ def group(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
     return grouped.agg(*parts) if parts else grouped.agg(F.lit(1).alias("_one")).drop("_one")
 
 
+def directed(order: list[tuple[str, int]]) -> list[Column]:
+    """Nulls first upwards, last downwards."""
+    return [name(k).asc_nulls_first() if way == 1 else name(k).desc_nulls_last() for k, way in order]
+
+
 def sort(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
-    """Nulls first upwards, last downwards; `_id`, where there is one, breaks ties."""
+    """Nulls first upwards, last downwards; `_id`, where there is one, breaks ties. The keys' values go along, hidden."""
+    df = df.drop(*carried(df))
     scope = ctx.scope(df)
-    keys = [scope.path(k).asc_nulls_first() if way == 1 else scope.path(k).desc_nulls_last() for k, way in spec.items()]
+    ways = dict(spec)
     if "_id" in df.columns and "_id" not in spec and not isinstance(df.schema["_id"].dataType, (T.MapType, T.VariantType)):
-        keys.append(name("_id").asc_nulls_first())
-    return df.orderBy(*keys)
+        ways["_id"] = 1
+    ctx.order = [(f"{HIDDEN}{i}", way) for i, way in enumerate(ways.values())]
+    return df.withColumns({h: scope.path(k) for (h, _), k in zip(ctx.order, ways, strict=True)}).orderBy(*directed(ctx.order))
 
 
 def limit(df: DataFrame, spec: int, ctx) -> DataFrame:
@@ -110,8 +125,14 @@ def unwind(df: DataFrame, spec: str | Mapping, ctx) -> DataFrame:
     values = F.coalesce(column, empty)
     if options.get("preserveNullAndEmptyArrays"):
         values = F.when(F.size(values) == 0, empty).otherwise(values)
-    if index:
-        rows = df.select("*", F.posexplode(values).alias("_at", "_item")).withColumn(index, F.when(column.isNotNull(), F.col("_at").cast("long"))).drop("_at")
+    if index or ctx.order:
+        rows = df.select("*", F.posexplode(values).alias("_at", "_item"))
+        if index:
+            rows = rows.withColumn(index, F.when(column.isNotNull(), F.col("_at").cast("long")))
+        if ctx.order:  # elements of one document come in their own order
+            ctx.order = [*ctx.order, (f"{HIDDEN}{len(carried(df))}", 1)]
+            rows = rows.withColumn(ctx.order[-1][0], F.col("_at"))
+        rows = rows.drop("_at")
     else:
         rows = df.select("*", F.explode(values).alias("_item"))
     return _put(rows, {path: F.col("_item")}).drop("_item")
@@ -172,6 +193,17 @@ def lookup_summary(df: DataFrame, spec: Mapping, wanted: dict[str, str | None],
     return local.join(foreign.groupBy("_fk").agg(*parts), on, "left").withColumns(defaults).drop("_lk", "_fk")
 
 
+def lookup_kept(df: DataFrame, spec: Mapping, found: bool, ctx) -> DataFrame:
+    """$lookup followed by a $match that only asks whether its array has elements: a semi or anti join, nothing is collected.
+
+    After an anti join the array is there and empty; after a semi join it isn't there (nothing later may read it).
+    """
+    foreign, on, local = _foreign(df, spec, ctx)
+    if found:
+        return local.join(foreign, on, "left_semi").drop("_lk")
+    return local.join(foreign, on, "left_anti").withColumn(spec["as"], F.array().cast(T.ArrayType(foreign.schema["_doc"].dataType))).drop("_lk")
+
+
 def union_with(df: DataFrame, spec: str | Mapping, ctx) -> DataFrame:
     spec = {"coll": spec} if isinstance(spec, str) else spec
     other = ctx.collection(spec.get("coll") or spec["collection"])
@@ -190,11 +222,13 @@ def sort_by_count(df: DataFrame, spec: Any, ctx) -> DataFrame:
 
 
 def facet(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
-    """One row: each sub-pipeline's documents as an array. Each part is a single row, so joining them multiplies nothing."""
+    """One row: each sub-pipeline's documents as an array, in the order that they have. Each part is a single row, so joining
+    them multiplies nothing; each reads the columns that it needs, and starts in the order of a $sort before."""
     parts = []
     for key, pipeline in spec.items():
-        part = ctx.run(df, pipeline)
-        parts.append(part.agg(F.collect_list(F.struct(*(name(c) for c in part.columns))).alias(key)))
+        part, order = ctx.run_ordered(df, pipeline)
+        document = F.struct(*(name(c) for c in part.columns if not c.startswith(HIDDEN)))
+        parts.append(part.agg(pushed(document, order, Scope(part)).alias(key)))
     return reduce(lambda a, b: a.crossJoin(b), parts)
 
 
@@ -304,18 +338,27 @@ def out(df: DataFrame, spec: str | Mapping, ctx) -> DataFrame:
 
 def merge(df: DataFrame, spec: str | Mapping, ctx) -> DataFrame:
     """Upsert into a collection by its `on` key. Matched rows: replace, merge, keepExisting (the default) or fail;
-    others: insert (the default), discard or fail."""
+    others: insert (the default), discard or fail. Rows that share a key count as if they came one after the other."""
     spec = {"into": spec} if isinstance(spec, str) else spec
     on, matched, missing = spec.get("on", "_id"), spec.get("whenMatched", "keepExisting"), spec.get("whenNotMatched", "insert")
-    ctx.write(spec["into"], merged(ctx.collection(spec["into"], df.schema), df, on, matched, missing))
-    return df
+    bare = df.drop(*carried(df))
+    ctx.write(spec["into"], merged(ctx.collection(spec["into"], bare.schema), df, on, matched, missing, ctx.order))
+    return bare
 
 
-def merged(old: DataFrame, new: DataFrame, on: str, matched: str = "keepExisting", missing: str = "insert") -> DataFrame:
-    columns = list(dict.fromkeys([*old.columns, *new.columns]))
+def merged(old: DataFrame, new: DataFrame, on: str, matched: str = "keepExisting", missing: str = "insert", order: list[tuple[str, int]] | None = None) -> DataFrame:
+    """old with new's rows. Of new rows that share a key the first stays if existing ones are kept, else the last one: by
+    order, or by their values where there is none."""
+    shown = [c for c in new.columns if not c.startswith(HIDDEN)]
+    columns = list(dict.fromkeys([*old.columns, *shown]))
     a = old.select(F.struct(*(name(c) for c in old.columns)).alias("_old"), name(on).alias("_a"))
-    b = new.dropDuplicates([on]).select(F.struct(*(name(c) for c in new.columns)).alias("_new"), name(on).alias("_b"))
+    key = ascending(order, Scope(new)) if order else None
+    if key is None:
+        key = F.struct(*(name(f.name) for f in new.schema.fields if f.name in shown and not isinstance(f.dataType, (T.MapType, T.VariantType))))
+    pick = F.min_by if matched == "keepExisting" else F.max_by
+    b = new.where(name(on).isNotNull()).groupBy(name(on).alias("_b")).agg(pick(F.struct(*(name(c) for c in shown)), key).alias("_new"))
     both = a.join(b, F.col("_a") == F.col("_b"), "full" if missing == "insert" else "left")
+    new = new.select(*shown)
     hit, fresh = F.col("_old").isNotNull() & F.col("_new").isNotNull(), F.col("_old").isNull()
 
     def side(alias: str, df: DataFrame, c: str) -> Column:

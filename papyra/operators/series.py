@@ -131,8 +131,9 @@ def fill(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
             values[field] = F.last(x, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
         elif how == "linear":
             at = F.row_number().over(w)
+            back = W.partitionBy(*by).orderBy(F.desc("_at"))  # a frame that shrinks towards the end would be read anew for each row
             known = F.when(x.isNotNull(), F.struct(F.col("_at").alias("i"), x.cast("double").alias("v")))
-            df = df.withColumn("_at", at).withColumn("_a", F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+            df = df.withColumn("_at", at).withColumn("_a", F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_b", F.last(known, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)))
             between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_at") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
             df = df.withColumn(field, F.coalesce(x.cast("double"), between)).drop("_at", "_a", "_b")
         elif isinstance(how, Mapping) and "value" in how:

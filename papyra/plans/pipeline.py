@@ -21,9 +21,11 @@ STAGES: dict[str, Callable[[DataFrame, Any, "Context"], DataFrame]] = {
     "$merge": r.merge, "$graphLookup": s.graph_lookup, "$densify": s.densify, "$fill": s.fill, "$setWindowFields": s.set_window_fields,
 }
 #: Stages that keep the order of a $sort before them.
-_ORDERLY = {"$match", "$project", "$addFields", "$set", "$unset", "$limit", "$skip", "$sort", "$redact", "$changeStream"}
+_ORDERLY = {"$match", "$project", "$addFields", "$set", "$unset", "$replaceRoot", "$unwind", "$limit", "$skip", "$sort", "$redact", "$search", "$changeStream"}
 #: Stages that keep all rows but not their order; it is made again.
 _DEALT = {"$lookup", "$graphLookup", "$setWindowFields"}
+#: Stages that use the order and end it.
+_LAST = {"$group", "$bucket", "$bucketAuto", "$facet", "$fill", "$merge"}
 
 
 class Context:
@@ -50,11 +52,20 @@ class Context:
         self._write(name, df)
 
     def scope(self, df: DataFrame) -> Scope:
-        return Scope(df, self.text_fields)
+        texts = self.text_fields
+        if texts is None and r.carried(df):  # hidden copies of text aren't searched
+            texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and not f.name.startswith(r.HIDDEN)]
+        return Scope(df, texts)
 
     def run(self, df: DataFrame, pipeline: Iterable[Mapping[str, Any]]) -> DataFrame:
         return compile_pipeline(df, pipeline, Context(self.spark, self._find, self._write, self.text_fields))
 
+    def run_ordered(self, df: DataFrame, pipeline: Iterable[Mapping[str, Any]]) -> tuple[DataFrame, list[tuple[str, int]] | None]:
+        """A sub-pipeline that starts in this one's order: its rows with their hidden columns, and their order."""
+        inner = Context(self.spark, self._find, self._write, self.text_fields)
+        inner.order = self.order
+        return _compile(df, pipeline, inner), inner.order
+
 
 def check(pipeline: Iterable[Mapping[str, Any]]) -> list[tuple[str, Any]]:
     out = []
@@ -90,20 +101,43 @@ def _summary(lookup: Mapping, project: Mapping) -> tuple[dict[str, str | None],
     return wanted, swapped
 
 
-def _in_order(df: DataFrame, order: list[tuple[str, int]] | None, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _in_order(df: DataFrame, ctx: Context, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A stage that joins or deals rows anew, and the order of a $sort before it again after it."""
-    if not order:
-        return stage(df)
-    scope = Scope(df)
-    kept = {f"_order{i}": scope.path(k) for i, (k, _) in enumerate(order)}
-    if "_id" in df.columns and "_id" not in dict(order) and not isinstance(df.schema["_id"].dataType, (T.MapType, T.VariantType)):
-        kept[f"_order{len(order)}"] = scope.path("_id")
-    ways = [*(way for _, way in order), 1]
-    out = stage(df.withColumns(kept))
-    return out.orderBy(*(F.col(k).asc_nulls_first() if way == 1 else F.col(k).desc_nulls_last() for k, way in zip(kept, ways, strict=False))).drop(*kept)
+    out = stage(df)
+    return out.orderBy(*r.directed(ctx.order)) if ctx.order else out
 
 
-def compile_pipeline(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], ctx: Context) -> DataFrame:
+def _presence(condition: Any, array: str) -> bool | None:
+    """Whether a $match only asks for a looked-up array with elements (True) or without (False); None: something else."""
+    if not isinstance(condition, Mapping) or len(condition) != 1:
+        return None
+    ((path, rule),) = condition.items()
+    if path == array and rule in ({"$size": 0}, {"$eq": []}, []):
+        return False
+    if path == array and rule in ({"$ne": []}, {"$not": {"$size": 0}}):
+        return True
+    if path == f"{array}.0" and isinstance(rule, Mapping) and set(rule) == {"$exists"}:
+        return bool(rule["$exists"])
+    if path == "$expr" and isinstance(rule, Mapping) and len(rule) == 1:
+        ((op, sides),) = rule.items()
+        if isinstance(sides, (list, tuple)) and list(sides) == [{"$size": "$" + array}, 0]:
+            return {"$eq": False, "$gt": True, "$ne": True}.get(op)
+    return None
+
+
+def _unread(stages: list[tuple[str, Any]], array: str) -> bool:
+    """Whether the field is gone, or made anew, before any of the stages reads it."""
+    for op, spec in stages:
+        if op == "$unset" and array in ([spec] if isinstance(spec, str) else spec):
+            return True
+        if array in repr(spec):
+            return False
+        if op in ("$group", "$count", "$sortByCount", "$bucket", "$documents") or (op == "$project" and any(v not in (0, False) or isinstance(v, str) for v in spec.values())):
+            return True
+    return False
+
+
+def _compile(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], ctx: Context) -> DataFrame:
     stages = check(pipeline)
     i = 0
     while i < len(stages):
@@ -113,23 +147,35 @@ def compile_pipeline(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], ctx:
             options = {"path": following[1]} if isinstance(following[1], str) else following[1]
             if options["path"].removeprefix("$") == spec["as"] and not options.get("includeArrayIndex"):
                 keep = bool(options.get("preserveNullAndEmptyArrays"))
-                df = _in_order(df, ctx.order, lambda d: r.lookup_unwind(d, spec, ctx, keep))
+                df = _in_order(df, ctx, lambda d: r.lookup_unwind(d, spec, ctx, keep))
                 i += 2
                 continue
+        if op == "$lookup" and following[0] == "$match" and (found := _presence(following[1], spec["as"])) is not None and (not found or _unread(stages[i + 2 :], spec["as"])):
+            df = _in_order(df, ctx, lambda d: r.lookup_kept(d, spec, found, ctx))
+            i += 2
+            continue
         if op == "$lookup" and following[0] == "$project" and (found := _summary(spec, following[1])):
-            df = _in_order(df, ctx.order, lambda d: r.lookup_summary(d, spec, found[0], ctx))
+            df = _in_order(df, ctx, lambda d: r.lookup_summary(d, spec, found[0], ctx))
             df = r.project(df, found[1], ctx)
             i += 2
             continue
-        df = _in_order(df, ctx.order, lambda d: STAGES[op](d, spec, ctx)) if op in _DEALT else STAGES[op](df, spec, ctx)
-        if op == "$sort":
-            ctx.order = list(spec.items())
-        elif op not in _ORDERLY and op not in _DEALT:
-            ctx.order = None
+        if op in _DEALT:
+            df = _in_order(df, ctx, lambda d: STAGES[op](d, spec, ctx))
+        else:
+            if op not in _ORDERLY and op not in _LAST:
+                df, ctx.order = df.drop(*r.carried(df)), None
+            df = STAGES[op](df, spec, ctx)
+            if op not in _ORDERLY:
+                df, ctx.order = df.drop(*r.carried(df)), None
         i += 1
     return df
 
 
+def compile_pipeline(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], ctx: Context) -> DataFrame:
+    out = _compile(df, pipeline, ctx)
+    return out.drop(*r.carried(out))
+
+
 def aggregate(df: DataFrame, pipeline: Iterable[Mapping[str, Any]], collections: Any = None, write: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
     """Run a pipeline on a DataFrame; collections maps names to DataFrames for stages that read others."""
     return compile_pipeline(df, pipeline, Context(df.sparkSession, collections, write))

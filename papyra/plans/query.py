@@ -494,11 +494,11 @@ def populated(df: DataFrame, path: str, foreign: DataFrame, fields: list[str] |
         bare = F.struct(*((name("_lk").cast(fid) if c == "_id" else F.lit(None).cast(foreign.schema[c].dataType)).alias(c) for c in foreign.columns))
         out = df.withColumn("_lk", join_key(name(path), kind, fid)).join(right, F.col("_lk") == F.col("_fk"), "left")
         return out.withColumn(path, F.coalesce("_doc", F.when(F.col("_lk").isNotNull(), bare))).drop("_lk", "_fk", "_doc")
-    key = name("_id")
-    each = df.select(key.alias("_row"), F.posexplode(name(path)).alias("_at", "_ref"))
+    # A list's documents depend on the list alone; so rows that share an _id, or have none, can't be confused.
+    each = df.select(name(path).alias("_row")).where("size(_row) > 0").distinct().select("_row", F.posexplode("_row").alias("_at", "_ref"))
     each = each.withColumn("_lk", join_key(F.col("_ref"), own, fid)).join(right, F.col("_lk") == F.col("_fk"))
     lists = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col("_doc")))), lambda x: x["_doc"]).alias("_docs"))
     empty = F.array().cast(T.ArrayType(right.schema["_doc"].dataType))
-    out = df.join(lists, key == F.col("_row"), "left")
+    out = df.join(lists, name(path) == F.col("_row"), "left")
     held: Column = F.when(name(path).isNotNull(), F.coalesce("_docs", empty))
     return out.withColumn(path, held).drop("_row", "_docs")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.collection import Collection, Database
 from papyra.functions.paths import Scope
 from papyra.functions.updates import compile_update
 from papyra.operators.relational import merged
-from papyra.plans.pipeline import aggregate
+from papyra.plans.pipeline import Pipeline, aggregate
 from papyra.plans.query import Query, populated
-from papyra.session import configure
+from papyra.schema import Schema
+from papyra.session import configure, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,10 +72,10 @@ pipe(
 
 # Filters.
 pipe("match_eq", "orders", [{"$match": {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}}, {"$project": _ORDER}], "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
-pipe("match_range_and", "orders", [{"$match": {"o_totalprice": {"$gte": 100000, "$lt": 150000}, "$and": [{"o_orderkey": {"$gt": 10}}, {"o_custkey": {"$lte": 700}}]}}, {"$project": _ORDER}], "select o_orderkey, o_totalprice from orders where o_totalprice >= 100000 and o_totalprice < 150000 and o_orderkey > 10 and o_custkey <= 700")
+pipe("match_range_and", "orders", [{"$match": {"o_totalprice": {"$gte": 100000, "$lt": 150000}, "$and": [{"o_orderstatus": {"$gt": "F"}}, {"o_orderpriority": {"$lte": "3-MEDIUM"}}]}}, {"$project": _ORDER}], "select o_orderkey, o_totalprice from orders where o_totalprice >= 100000 and o_totalprice < 150000 and o_orderstatus > 'F' and o_orderpriority <= '3-MEDIUM'")
 pipe("match_ne_nin", "orders", [{"$match": {"o_orderstatus": {"$ne": "F"}, "o_orderpriority": {"$nin": ["1-URGENT", "5-LOW"]}}}, {"$project": _ORDER}], "select o_orderkey, o_totalprice from orders where o_orderstatus <> 'F' and o_orderpriority not in ('1-URGENT', '5-LOW')")
 pipe("match_in", "orders", [{"$match": {"o_orderpriority": {"$in": ["2-HIGH", "3-MEDIUM"]}}}, {"$project": _ORDER}], "select o_orderkey, o_totalprice from orders where o_orderpriority in ('2-HIGH', '3-MEDIUM')")
-pipe("match_or_nor", "orders", [{"$match": {"$or": [{"o_totalprice": {"$gt": 400000}}, {"o_orderstatus": "P"}], "$nor": [{"o_orderpriority": "1-URGENT"}, {"o_custkey": {"$lt": 100}}]}}, {"$project": _ORDER}], "select o_orderkey, o_totalprice from orders where (o_totalprice > 400000 or o_orderstatus = 'P') and not (o_orderpriority = '1-URGENT' or o_custkey < 100)")
+pipe("match_or_nor", "orders", [{"$match": {"$or": [{"o_totalprice": {"$gt": 400000}}, {"o_orderstatus": "P"}], "$nor": [{"o_orderpriority": "1-URGENT"}, {"o_totalprice": {"$lt": 50000}}]}}, {"$project": _ORDER}], "select o_orderkey, o_totalprice from orders where (o_totalprice > 400000 or o_orderstatus = 'P') and not (o_orderpriority = '1-URGENT' or o_totalprice < 50000)")
 pipe("match_not", "part", [{"$match": {"p_size": {"$not": {"$gt": 10}}}}, {"$project": {"p_partkey": 1, "p_size": 1}}], "select p_partkey, p_size from part where not p_size > 10")
 pipe("match_regex", "part", [{"$match": {"p_type": {"$regex": "^promo", "$options": "i"}, "p_name": {"$regex": "r[ei]"}}}, {"$project": {"p_partkey": 1, "p_name": 1}}], "select p_partkey, p_name from part where regexp_matches(p_type, '(?i)^promo') and regexp_matches(p_name, 'r[ei]')")
 pipe("match_text_field", "documents", [{"$match": {"text": {"$text": "LICENSE"}}}, {"$project": {"doc_id": 1, "n_chars": 1}}], "select doc_id, n_chars from documents where contains(lower(text), 'license')")
@@ -161,36 +164,31 @@ def _parts_of_customers(t: Callable[[str], DataFrame], orders: DataFrame) -> Dat
     return out.select("_id", F.array_join("parts.p_name", "|").alias("names"), F.size("parts").cast("bigint").alias("n"))
 
 
-@frame("""select o_custkey as _id, string_agg(p_name, '|' order by k) as names, count(*) as n from (select distinct o_custkey, l_partkey as k from orders join lineitem on l_orderkey = o_orderkey where o_custkey < 50) join part on p_partkey = k group by 1""")
-def populate_array(t):
-    return _parts_of_customers(t, t("orders").where("o_custkey < 50"))
-
-
 @frame("""select o_custkey as _id, string_agg(p_name, '|' order by k) as names, count(*) as n from (select distinct o_custkey, l_partkey as k from orders join lineitem on l_orderkey = o_orderkey) join part on p_partkey = k group by 1""")
-def populate_array_all(t):
+def populate_array(t):
     return _parts_of_customers(t, t("orders"))
 
 
-@frame("""select coalesce(a.k, b.k) as k, coalesce(b.v, a.v) as v, a.w as w from (select c_custkey as k, c_acctbal as v, c_name as w from customer where c_custkey < 1000) a
-full join (select s_suppkey * 12 as k, s_acctbal as v from supplier) b on a.k = b.k""")
-def merge_upsert(t):
-    old = t("customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("w"))
-    return merged(old, t("supplier").select((F.col("s_suppkey") * 12).alias("k"), F.col("s_acctbal").alias("v")), "k", "merge", "insert")
-
-
 @frame("""select coalesce(a.k, b.k) as k, coalesce(b.v, a.v) as v, a.w as w from (select c_custkey as k, c_acctbal as v, c_name as w from customer) a
 full join (select case when s_suppkey % 4 = 0 then -1 - s_suppkey else s_suppkey end as k, s_acctbal as v from supplier) b on a.k = b.k""")
-def merge_upsert_all(t):
+def merge_upsert(t):
     old = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("w"))
     # A quarter of the suppliers gets keys that no customer has, whatever the tables' sizes.
     key = F.when(F.col("s_suppkey") % 4 == 0, -1 - F.col("s_suppkey")).otherwise(F.col("s_suppkey"))
     return merged(old, t("supplier").select(key.alias("k"), F.col("s_acctbal").alias("v")), "k", "merge", "insert")
 
 
-@frame("""select a.k, a.v from (select c_custkey as k, c_acctbal as v from customer) a""")
-def merge_keep_discard(t):
+@frame("""select coalesce(a.k, b.k) as k, coalesce(a.v, b.v) as v from (select c_custkey as k, c_acctbal as v from customer) a
+full join (select c_nationkey - 30 as k, min(c_acctbal) as v from customer group by 1) b on a.k = b.k""")
+def merge_keep_insert(t):
+    old = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return merged(old, t("customer").select((F.col("c_nationkey") - 30).cast("bigint").alias("k"), F.col("c_acctbal").alias("v")), "k", "keepExisting", "insert")
+
+
+@frame("""select c_custkey as k, case when c_custkey in (select s_suppkey * 3 from supplier) then (select s_acctbal from supplier where s_suppkey * 3 = c_custkey) else c_acctbal end as v from customer""")
+def merge_replace_discard(t):
     old = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return merged(old, t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), "k", "keepExisting", "discard")
+    return merged(old, t("supplier").select((F.col("s_suppkey") * 3).alias("k"), F.col("s_acctbal").alias("v")), "k", "replace", "discard")
 
 
 # Windows and series.
@@ -214,11 +212,11 @@ pipe("densify_numeric", "part", [{"$group": {"_id": "$p_size", "n": {"$sum": 1}}
 
 # Areas: places derived from customer keys.
 def _places(t: Callable) -> DataFrame:
-    lon, lat = F.col("c_custkey") % 361 - 180, F.col("c_custkey") % 179 - 89
+    lon, lat = F.col("c_custkey") * 195 % 361 - 180, F.col("c_custkey") * 97 % 179 - 89
     return t("customer").select("c_custkey", F.array(lon.cast("double"), lat.cast("double")).alias("location"))
 
 
-_LONLAT = "(select c_custkey, (c_custkey % 361 - 180)::double as x, (c_custkey % 179 - 89)::double as y from customer)"
+_LONLAT = "(select c_custkey, (c_custkey * 195 % 361 - 180)::double as x, (c_custkey * 97 % 179 - 89)::double as y from customer)"
 
 
 def _metres(lon: float, lat: float) -> str:
@@ -282,9 +280,144 @@ def update_arrays(t):
     return out.select("_id", *(F.array_join(c, "").alias(c) for c in ("pushed", "pulled", "cleared", "popped", "added")), F.size("few").cast("bigint").alias("few"))
 
 
-@frame()
+@frame("select r_regionkey, r_name, true as seen, true as ms from region")
 def update_current_date(t):
-    return _updated(t("region"), "true", {"$currentDate": {"seen": True, "ms": {"$type": "timestamp"}}})
+    """All but the times, of which it only says that they are the present."""
+    out = _updated(t("region"), "true", {"$currentDate": {"seen": True, "ms": {"$type": "timestamp"}}})
+    recent = lambda seconds: F.abs(F.unix_timestamp(F.current_timestamp()) - seconds) < 60
+    return out.withColumns({"seen": recent(F.unix_timestamp("seen")), "ms": recent(F.col("ms") / 1000)})
+
+
+@frame("select 25::bigint as n, 25::bigint as different, 0::bigint as strangers, true as repeatable")
+def sample_properties(t):
+    """$sample: as many rows as asked for, none twice, all from the table, and the same ones for the same seed."""
+    taken = lambda: aggregate(t("orders"), [{"$sample": {"size": 25, "seed": 7}}])
+    found = taken().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("different"), F.sum("o_orderkey").alias("_a"))
+    strangers = taken().join(t("orders"), taken().columns, "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    again = taken().agg(F.sum("o_orderkey").alias("_b"))
+    return found.crossJoin(strangers).crossJoin(again).select("n", "different", "strangers", (F.col("_a") == F.col("_b")).alias("repeatable"))  # three rows of one
+
+
+# Collections: written in a folder of their own under the shared one, and read back.
+def _database(df: DataFrame) -> Database:
+    return Database(df.sparkSession, f"{shared_folder(df.sparkSession)}/queries-{uuid.uuid4().hex}")
+
+
+_CUSTOMER = {"name": {"type": "String", "required": True}, "balance": "Number", "segment": {"type": "String", "default": "NONE"}, "visits": {"type": "Integer", "default": 0}}
+
+
+def _customers(t: Callable) -> Collection:
+    rows = t("customer").select(F.col("c_custkey").cast("string").alias("_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    model = _database(rows).model("customers", _CUSTOMER)
+    model.insert_frame(rows)
+    return model
+
+
+def _shown(model: Collection) -> DataFrame:
+    return model.df().select("_id", "name", "balance", "segment", F.col("visits").cast("int").alias("visits"))
+
+
+_WAS = "select c_custkey::varchar as _id, c_name as name, c_acctbal as balance, c_mktsegment as segment, 0 as visits from customer"
+
+
+@frame(f"select * from ({_WAS}) where balance > 0")
+def write_insert_find(t):
+    return _customers(t).find({"balance": {"$gt": 0}}).select("name balance segment visits").df().withColumn("visits", F.col("visits").cast("int"))
+
+
+@frame(f"select _id, name, case when segment = 'BUILDING' then round(balance + 10, 2) else balance end as balance, segment, case when segment = 'BUILDING' then 1 else 0 end as visits from ({_WAS})")
+def write_update_many(t):
+    model = _customers(t)
+    model.update_many({"segment": "BUILDING"}, {"$inc": {"balance": 10, "visits": 1}})
+    return _shown(model).withColumn("balance", F.when(F.col("visits") > 0, F.round("balance", 2)).otherwise(F.col("balance")))
+
+
+@frame(f"select _id, name, balance, case when _id = '1' then 'FIRST' else segment end as segment, visits from ({_WAS}) union all select 'new', 'made', 7.5, 'NONE', 3")
+def write_upsert(t):
+    """$setOnInsert counts for the document that isn't there only."""
+    model = _customers(t)
+    for key, segment in (("1", "FIRST"), ("new", "NONE")):
+        model.update_one({"_id": key}, {"$set": {"segment": segment}, "$setOnInsert": {"name": "made", "balance": 7.5, "visits": 3}}, upsert=True)
+    return _shown(model)
+
+
+@frame(f"select _id, case when _id = '2' then 'other' else name end as name, case when _id = '2' then null else balance end as balance, case when _id = '2' then 'NONE' else segment end as segment, visits from ({_WAS}) where _id = '2' or not (segment = 'MACHINERY' or balance < 0)")
+def write_replace_delete(t):
+    model = _customers(t)
+    model.delete_many({"$or": [{"segment": "MACHINERY"}, {"balance": {"$lt": 0}}], "_id": {"$ne": "2"}})
+    model.replace_one({"_id": "2"}, {"name": "other"})
+    return _shown(model)
+
+
+@frame(f"select _id, name, balance, case when segment = 'AUTOMOBILE' then 'CARS' else segment end as segment, case when segment = 'AUTOMOBILE' then 2 else 0 end as visits from ({_WAS}) where segment <> 'FURNITURE' union all select 'x', 'bulk', 1.5, 'CARS', 2")
+def write_bulk(t):
+    model = _customers(t)
+    model.bulk_write([
+        {"insertOne": {"document": {"_id": "x", "name": "bulk", "balance": 1.5, "segment": "AUTOMOBILE"}}}, {"updateMany": {"filter": {"segment": "AUTOMOBILE"}, "update": {"$set": {"segment": "CARS"}}}},
+        {"updateMany": {"filter": {"segment": "CARS"}, "update": {"$inc": {"visits": 2}}}}, {"deleteMany": {"filter": {"segment": "FURNITURE"}}},
+    ])
+    return _shown(model)
+
+
+@frame("select o_orderstatus as _id, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1")
+def out_stage(t):
+    db = _database(t("orders"))
+    Pipeline(t("orders"), db.collection("any").context()).group({"_id": "$o_orderstatus", "n": {"$sum": 1}, "total": {"$sum": "$o_totalprice"}}).out("totals").run()
+    return db.collection("totals").df().withColumn("total", F.round("total", 2))
+
+
+@frame("select coalesce(a.k, b.k) as _id, coalesce(b.n, a.n) as n from (select c_mktsegment as k, count(*) as n from customer group by 1) a full join (select upper(substr(c_mktsegment, 1, 1)) as k, max(c_nationkey)::bigint as n from customer group by 1 union all select 'BUILDING', 5) b on a.k = b.k")
+def merge_stage(t):
+    """Counts by segment; then a pipeline's rows, of which 'BUILDING' is there already and the others aren't."""
+    db = _database(t("customer"))
+    context = db.collection("any").context()
+    Pipeline(t("customer"), context).group({"_id": "$c_mktsegment", "n": {"$sum": 1}}).out("totals").run()
+    rows = t("customer").groupBy(F.upper(F.substring("c_mktsegment", 1, 1)).alias("_id")).agg(F.max("c_nationkey").cast("bigint").alias("n"))
+    more = t("region").agg(F.lit("BUILDING").alias("_id"), F.lit(5).cast("bigint").alias("n"))
+    Pipeline(rows.unionByName(more), context).merge({"into": "totals", "whenMatched": "replace"}).run()
+    return db.collection("totals").df()
+
+
+@frame("select s_suppkey::varchar as _id, s_name, s_acctbal, s_nationkey::bigint as s_nationkey from supplier")
+def json_there_and_back(t):
+    """A collection written as JSON, read as the raw source and appended to another collection."""
+    rows = t("supplier").select(F.col("s_suppkey").cast("string").alias("_id"), "s_name", "s_acctbal", F.col("s_nationkey").cast("bigint").alias("s_nationkey"))
+    db = _database(rows)
+    first, second = db.model("first", Schema({}, strict=False)), db.model("second", Schema({}, strict=False))
+    first.insert_frame(rows)
+    first.export_json(f"{db.root}/_json")
+    second.import_json(f"{db.root}/_json", lines=True)
+    return second.df().select("_id", "s_name", "s_acctbal", "s_nationkey")
+
+
+@frame(_WAS)
+def backup_restore(t):
+    model = _customers(t)
+    model.backup()
+    model.delete_many({})
+    model.restore()
+    return _shown(model)
+
+
+@frame("""select c_mktsegment as _id, string_agg(c_name, '|' order by c_acctbal desc, c_custkey) as names from customer group by 1""")
+def order_by_value(t):
+    """A $sort by a field that is then overwritten, and documents whose root is replaced, keep their order."""
+    stages = [{"$sort": {"c_acctbal": -1, "c_custkey": 1}}, {"$addFields": {"c_acctbal": {"$multiply": ["$c_acctbal", -1]}, "doc": {"s": "$c_mktsegment", "n": "$c_name"}}}, {"$replaceRoot": "$doc"}, {"$group": {"_id": "$s", "names": {"$push": "$n"}}}]
+    return aggregate(t("customer"), stages).withColumn("names", F.array_join("names", "|"))
+
+
+@frame("""select string_agg(c_custkey::varchar, '|' order by c_acctbal desc, c_custkey) as ids from customer where c_mktsegment = 'BUILDING'""")
+def order_in_facets(t):
+    stages = [{"$sort": {"c_acctbal": -1, "c_custkey": 1}}, {"$facet": {"found": [{"$match": {"c_mktsegment": "BUILDING"}}, {"$project": {"c_custkey": 1}}]}}]
+    return aggregate(t("customer"), stages).select(F.array_join(F.expr("transform(found, x -> cast(x.c_custkey as string))"), "|").alias("ids"))
+
+
+@frame("""select o_custkey as _id, string_agg(o_orderpriority || ',' || o_orderstatus, '|' order by o_totalprice, o_orderkey) as items from orders group by 1""")
+def order_of_unwound(t):
+    stages = [{"$sort": {"o_totalprice": 1, "o_orderkey": 1}}, {"$unwind": "$both"}, {"$group": {"_id": "$o_custkey", "items": {"$push": "$both"}}}]
+    rows = aggregate(t("orders").withColumn("both", F.array("o_orderpriority", "o_orderstatus")), stages)
+    pairs = F.expr("transform(sequence(0, size(items) - 1, 2), i -> concat(items[i], ',', items[i + 1]))")
+    return rows.select("_id", F.array_join(pairs, "|").alias("items"))
 
 
 # Fluent queries.
@@ -309,13 +442,8 @@ def query_near(t):
     return Query(lambda: places).where("location").near({"center": [12.5, 41.5]}).max_distance(5000000).limit(10).select("_id").df().withColumnRenamed("_id", "c_custkey")
 
 
-@frame("""select distinct o_orderpriority from orders where o_custkey < 30""")
-def query_distinct(t):
-    return Query(lambda: t("orders"), conditions={"o_custkey": {"$lt": 30}}).distinct("o_orderpriority")
-
-
 @frame("""select distinct o_orderpriority from orders""")
-def query_distinct_all(t):
+def query_distinct(t):
     return Query(lambda: t("orders")).distinct("o_orderpriority")
 
 

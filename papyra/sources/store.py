@@ -11,7 +11,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from papyra.types import merge
 
 #: Snapshots that stay readable.
 KEEP = 5
+#: An append makes one folder of those below SMALL_BYTES once there are MANY of them.
+MANY, SMALL_BYTES = 64, 32 << 20
 BACKUPS = "_backups"
 
 
@@ -34,6 +37,7 @@ class Store:
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
         self.path = f"{self.root}/{name}"
         self.files = Files(spark)
+        self._staged: dict | None = None
 
     def _manifests(self) -> list[str]:
         return [x["name"] for x in self.files.list(self.path) if x["name"].endswith(".json") and x["name"][:-5].isdigit()]
@@ -43,13 +47,15 @@ class Store:
         return int(names[-1][:-5]) if names else 0
 
     def manifest(self, version: int | None = None) -> dict:
+        if version is None and self._staged is not None:
+            return self._staged
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "parts": [], "schema": None}
         return {"version": version, **json.loads(self.files.read(f"{self.path}/{version:08d}.json"))}
 
     def exists(self) -> bool:
-        return bool(self._manifests())
+        return self._staged is not None and self._staged["schema"] is not None or bool(self._manifests())
 
     def schema(self) -> T.StructType | None:
         held = self.manifest()["schema"]
@@ -67,12 +73,37 @@ class Store:
             return None if default is None else self.spark.createDataFrame([], default)
         return self._of(m["parts"], T.StructType.fromJson(m["schema"]))
 
-    def _commit(self, base: dict, parts: list[str], schema: T.StructType) -> None:
+    def _commit(self, base: dict, parts: list[str], schema: T.StructType, batches: dict | None = None) -> None:
+        """The next snapshot. The folders of a writer that comes too late, or that a batch of writes made in between, go."""
+        batches = {**base.get("batches", {}), **(batches or {})}
+        if self._staged is not None:
+            made = set(base.get("made", ())) | (set(parts) - set(base["parts"]))
+            self._staged = {"version": base["version"], "parts": parts, "schema": schema.jsonValue(), "batches": batches, "made": sorted(made)}
+            return
         version = base["version"] + 1
-        if not self.files.create(f"{self.path}/{version:08d}.json", json.dumps({"parts": parts, "schema": schema.jsonValue()})):
+        if not self.files.create(f"{self.path}/{version:08d}.json", json.dumps({"parts": parts, "schema": schema.jsonValue(), "batches": batches})):
+            for part in set(parts) - set(base.get("parts", ())):
+                self.files.delete(f"{self.path}/{part}")
             raise Conflict(f"{self.name}: version {version} was written meanwhile")
         self._clean(version)
 
+    @contextmanager
+    def batch(self) -> Iterator[None]:
+        """Writes inside see one another and become one snapshot at the end; so also where one of them fails."""
+        if self._staged is not None:
+            yield
+            return
+        base = self.manifest()
+        self._staged = {**base, "made": []}
+        try:
+            yield
+        finally:
+            staged, self._staged = self._staged, None
+            if staged["parts"] != base["parts"] or staged["schema"] != base["schema"]:
+                self._commit(base, staged["parts"], T.StructType.fromJson(staged["schema"]), staged.get("batches"))
+            for part in set(staged["made"]) - set(staged["parts"]):
+                self.files.delete(f"{self.path}/{part}")
+
     def _clean(self, version: int) -> None:
         for name in self._manifests()[:-KEEP]:
             held = set(json.loads(self.files.read(f"{self.path}/{name}"))["parts"])
@@ -87,11 +118,17 @@ class Store:
         df.write.parquet(f"{self.path}/{part}")
         return part
 
-    def append(self, df: DataFrame) -> None:
+    def seen(self, source: str, number: int) -> bool:
+        """Whether the batch of a stream with that number, or a later one, was appended."""
+        return number <= self.manifest().get("batches", {}).get(source, -1)
+
+    def append(self, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """A data folder more; batch: a stream's name and the number of its batch, which is kept with the snapshot."""
         base = self.manifest()
+        batches = dict([batch]) if batch else None
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
         if base["schema"] is None:
-            self._commit(base, [self._put(df)], schema)
+            self._commit(base, [self._put(df)], schema, batches)
             return
         old = T.StructType.fromJson(base["schema"])
         both = merge(old, schema)
@@ -102,8 +139,16 @@ class Store:
             before = before.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in before.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in both.fields))
             base_parts = [self._put(before)]
         else:
-            base_parts = base["parts"]
-        self._commit(base, [*base_parts, self._put(df)], both)
+            base_parts = self._compacted(base["parts"], both)
+        self._commit(base, [*base_parts, self._put(df)], both, batches)
+
+    def _compacted(self, parts: list[str], schema: T.StructType) -> list[str]:
+        if len(parts) < MANY:
+            return parts
+        small = [p for p in parts if self.files.size(f"{self.path}/{p}") < SMALL_BYTES]
+        if len(small) < MANY:
+            return parts
+        return [*(p for p in parts if p not in set(small)), self._put(self._of(small, schema).coalesce(1 + len(small) * SMALL_BYTES // (256 << 20)))]
 
     def overwrite(self, df: DataFrame) -> None:
         base = self.manifest()

@@ -31,6 +31,9 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, pipeline: Itera
 
 
 def stream_into(df: DataFrame, model: Any, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append a stream to a collection, a snapshot for each batch; once: what is there now, then stop."""
-    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: None if rows.isEmpty() else model.insert_frame(rows))
+    """Append a stream to a collection, a snapshot for each batch; once: what is there now, then stop.
+
+    A batch's number is kept with the snapshot, under the checkpoint's path, so a batch that is run again isn't appended twice.
+    """
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, n: None if rows.isEmpty() else model.insert_frame(rows, batch=(checkpoint, n)))
     return (writer.trigger(availableNow=True) if once else writer).start()

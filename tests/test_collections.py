@@ -93,6 +93,78 @@ def test_updates(blog):
     assert users.find_one_and_delete({"username": "u"}).username == "u" and users.delete_many({"age": {"$lt": 7}}) == 2 and users.count_documents() == 1
 
 
+def test_bulk_writes_are_one_snapshot(db, spark):
+    model = db.model("bulk", {"k": {"type": "Integer", "unique": True}, "v": {"type": "Integer", "default": 0}})
+    model.insert_frame(spark.createDataFrame([(f"i{i}", i) for i in range(6)], "_id string, k int"))
+    before, reader = model.store.version(), model.df()
+    done = model.bulk_write([
+        {"insertOne": {"document": {"_id": "n", "k": 9}}}, {"updateOne": {"filter": {"k": {"$gte": 4}}, "update": {"$set": {"v": 5}}}}, {"updateMany": {"filter": {"v": 5}, "update": {"$inc": {"v": 1}}}},
+        {"deleteOne": {"filter": {"k": 0}}}, {"deleteMany": {"filter": {"k": {"$in": [1, 2]}}}}, {"replaceOne": {"filter": {"k": 9}, "replacement": {"k": 10, "v": 3}}}, {"updateOne": {"filter": {"k": 77}, "update": {"$set": {"v": 1}}, "upsert": True}},
+    ])
+    assert done == {"nInserted": 1, "nMatched": 3, "nModified": 3, "nUpserted": 1, "nRemoved": 3}
+    assert model.store.version() == before + 1
+    assert sorted((r.k, r.v) for r in model.df().collect()) == [(3, 0), (4, 6), (5, 0), (10, 3), (77, 1)]
+    assert reader.count() == 6  # the frame from before still reads its snapshot
+    folders = [x["name"] for x in model.store.files.list(model.store.path) if x["folder"]]
+    kept = {p for m in model.store._manifests() for p in model.store.manifest(int(m[:-5]))["parts"]}
+    assert set(folders) == kept
+    with pytest.raises(papyra.ValidationError):
+        model.bulk_write([{"insertOne": {"document": {"k": 100}}}, {"insertOne": {"document": {"k": 100}}}])
+    assert model.count({"k": 100}) == 1
+
+
+def test_frames_keep_unique_fields(db, spark):
+    model = db.model("u", {"name": {"type": "String", "unique": True}})
+    model.insert_frame(spark.createDataFrame([("1", "a"), ("2", None), ("3", None)], "_id string, name string"))
+    for rows in ([("1", "b")], [("9", "a")], [("9", "z"), ("8", "z")], [("9", "y"), ("9", "x")]):
+        with pytest.raises(papyra.ValidationError, match="duplicate"):
+            model.insert_frame(spark.createDataFrame(rows, "_id string, name string"))
+    assert model.df().count() == 3
+
+
+def test_a_batch_is_appended_once(db, spark):
+    model = db.model("s", {"k": {"type": "Integer"}})
+    rows = spark.createDataFrame([("1", 1)], "_id string, k int")
+    model.insert_frame(rows, batch=("q", 0))
+    model.insert_frame(rows, batch=("q", 0))
+    assert model.df().count() == 1
+    model.update_many({}, {"$inc": {"k": 1}})
+    model.insert_frame(rows, batch=("q", 0))
+    model.insert_frame(spark.createDataFrame([("2", 1)], "_id string, k int"), batch=("q", 1))
+    assert sorted((r["_id"], r.k) for r in model.df().collect()) == [("1", 2), ("2", 1)]
+
+
+def test_small_folders_become_one(db, spark, monkeypatch):
+    from papyra.sources import store
+
+    monkeypatch.setattr(store, "MANY", 3)
+    model = db.model("c", {"k": {"type": "Integer"}})
+    for i in range(5):
+        model.insert_frame(spark.createDataFrame([(f"{i}", i)], "_id string, k int"))
+    assert len(model.store.manifest()["parts"]) == 3 and sorted(r.k for r in model.df().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_populate_of_rows_that_share_an_id(spark):
+    from papyra.plans.query import populated
+
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (None, ["b", "zz", "a"]), (2, None), (3, []), (1, ["a", "b"])], "_id int, refs array<string>")
+    out = populated(df, "refs", spark.createDataFrame([("a", 1), ("b", 2)], "_id string, n int"))
+    assert sorted((str(r["_id"]), None if r.refs is None else [d.n for d in r.refs]) for r in out.collect() if r.refs is not None) == [("1", [1, 2]), ("1", [1, 2]), ("1", [2]), ("3", []), ("None", [2, 1])]
+    assert out.where("refs is null").count() == 1
+
+
+def test_virtual_populate_chooses_before_it_collects(db, spark):
+    users = papyra.Schema({"name": "String"})
+    for key, options in {"top": {"sort": {"likes": -1}, "limit": 2}, "best": {"sort": {"likes": -1}, "just_one": True}, "rest": {"sort": {"likes": -1}, "skip": 2}, "liked": {"match": {"likes": {"$gt": 3}}, "count": True}}.items():
+        users.virtual(key, {"ref": "posts", "local_field": "_id", "foreign_field": "user", **options})
+    model, posts = db.model("users", users), db.model("posts", {"user": "String", "likes": "Integer"})
+    model.insert_frame(spark.createDataFrame([("a", "x"), ("b", "y")], "_id string, name string"))
+    posts.insert_frame(spark.createDataFrame([(f"p{i}", "a", i % 5) for i in range(7)], "_id string, user string, likes int"))
+    rows = {r["_id"]: r for r in model.find().populate("top").populate("best").populate("rest").populate("liked").df().collect()}
+    assert [d["_id"] for d in rows["a"].top] == ["p4", "p3"] and rows["a"].best["_id"] == "p4" and [d["_id"] for d in rows["a"].rest] == ["p2", "p1", "p6", "p0", "p5"] and rows["a"].liked == 1
+    assert rows["b"].top == [] and rows["b"].best is None and rows["b"].liked == 0
+
+
 def test_only_folders_with_matches_are_rewritten(db, spark):
     store = db.model("N").store
     for k in range(3):

@@ -155,3 +155,44 @@ def test_geo_across_the_date_line(spark):
     near = aggregate(df, [{"$geoNear": {"near": [180.0, 0.0], "key": "p", "maxDistance": 100000}}])
     assert sorted(r["_id"] for r in rows(near)) == [1, 2] and near.where(F.abs(F.col("distance") - 55597.5) < 100).count() == 2
     assert [r["_id"] for r in rows(aggregate(df, [{"$match": {"p": {"$geoWithin": {"$box": [[170, -1], [-170, 1]]}}}}]))] == [1, 2]
+
+
+def test_order_is_by_value(spark):
+    """A sort's order stays what it was, whatever becomes of the field."""
+    df = spark.createDataFrame([(i, i % 3, [i, -i], (i,)) for i in range(6)], "_id int, a int, t array<int>, s struct<x: int>")
+    push = {"$group": {"_id": None, "all": {"$push": "$_id"}, "first": {"$first": "$_id"}, "last": {"$last": "$_id"}}}
+    want = {"_id": None, "all": [0, 3, 1, 4, 2, 5], "first": 0, "last": 5}
+    for between in ([], [{"$addFields": {"a": {"$multiply": ["$a", -1]}}}], [{"$project": {"_id": 1}}], [{"$unset": "a"}], [{"$project": {"_id": 1, "a": "$t"}}]):
+        assert rows(aggregate(df, [{"$sort": {"a": 1}}, *between, push])) == [want]
+    found = rows(aggregate(df, [{"$sort": {"a": -1}}, {"$unwind": "$t"}, {"$group": {"_id": None, "all": {"$push": "$t"}}}]))
+    assert found == [{"_id": None, "all": [2, -2, 5, -5, 1, -1, 4, -4, 0, 0, 3, -3]}]
+    found = rows(aggregate(df, [{"$sort": {"a": 1, "_id": -1}}, {"$replaceRoot": "$s"}, {"$group": {"_id": None, "all": {"$push": "$x"}}}]))
+    assert found == [{"_id": None, "all": [3, 0, 4, 1, 5, 2]}]
+    found = rows(aggregate(df, [{"$sort": {"a": -1}}, {"$facet": {"x": [{"$project": {"_id": 1}}], "y": [push], "z": [{"$sort": {"_id": -1}}, {"$limit": 2}, {"$project": {"_id": 1}}]}}]))
+    assert [d["_id"] for d in found[0]["x"]] == [2, 5, 1, 4, 0, 3] == found[0]["y"][0]["all"] and [d["_id"] for d in found[0]["z"]] == [5, 4]
+    out = aggregate(df, [{"$sort": {"a": 1}}, {"$lookup": {"from": "o", "localField": "_id", "foreignField": "k", "as": "o"}}], {"o": spark.range(3).withColumnRenamed("id", "k")})
+    assert out.columns == ["_id", "a", "t", "s", "o"] and [r["_id"] for r in rows(out)] == want["all"]
+    assert rows(aggregate(spark.createDataFrame([("ab", 1), ("c", 2)], "x string, y int"), [{"$sort": {"x": 1}}, {"$unset": "x"}, {"$match": {"$text": {"$search": "ab"}}}])) == []
+
+
+def test_lookups_for_presence_collect_nothing(spark):
+    """Semi and anti joins; where the array is read later, it is still made."""
+    df, other = spark.createDataFrame([(1,), (2,), (None,)], "a int"), {"o": spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k int, v string")}
+    look = {"$lookup": {"from": "o", "localField": "a", "foreignField": "k", "as": "o"}}
+    for ask, want in (({"o": {"$size": 0}}, [2]), ({"o": {"$ne": []}}, [None, 1]), ({"o.0": {"$exists": True}}, [None, 1]), ({"$expr": {"$gt": [{"$size": "$o"}, 0]}}, [None, 1]), ({"o": {"$not": {"$size": 0}}}, [None, 1])):
+        out = aggregate(df, [look, {"$match": ask}, {"$project": {"a": 1}}], other)
+        assert sorted((r["a"] for r in rows(out)), key=lambda x: x or 0) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and ("LeftAnti" if want == [2] else "LeftSemi") in plan
+    kept = rows(aggregate(df, [look, {"$match": {"o": {"$ne": []}}}, {"$match": {"a": 1}}], other))
+    assert len(kept) == 1 and sorted(d["v"] for d in kept[0]["o"]) == ["x", "y"]
+    assert rows(aggregate(df, [look, {"$match": {"o": {"$size": 0}}}], other)) == [{"a": 2, "o": []}]
+
+
+def test_merge_takes_rows_with_equal_keys_in_order(spark):
+    old = spark.createDataFrame([(1, "old")], "_id int, v string")
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3), (2, "d", 4)], "_id int, v string, n int")
+    for way, how, want in ((1, "replace", {1: "b", 2: "d"}), (-1, "replace", {1: "a", 2: "c"}), (1, "keepExisting", {1: "old", 2: "c"}), (-1, "merge", {1: "a", 2: "c"})):
+        held = {}
+        aggregate(new, [{"$sort": {"n": way}}, {"$project": {"_id": 1, "v": 1}}, {"$merge": {"into": "t", "whenMatched": how}}], {"t": old}, held.__setitem__)
+        assert {r._id: r.v for r in held["t"].collect()} == want and held["t"].columns == ["_id", "v"]
