@@ -104,6 +104,14 @@ class Database:
 
     get_client = client
 
+    def set_client(self, _: Any = None) -> "Database":
+        """The session is the client; there is no other to set."""
+        return self
+
+    def as_promise(self) -> "Database":
+        """A database is open once it is made; nothing is waited for."""
+        return self
+
     def sync_indexes(self) -> None:
         """Indexes are metadata; there is nothing to synchronise."""
 

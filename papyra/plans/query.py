@@ -227,6 +227,11 @@ class Query:
 
     projection = select
 
+    @staticmethod
+    def sanitize_projection(fields: Mapping[str, Any]) -> dict[str, int]:
+        """The plain choices among fields, as 1 and 0: expressions and other values, as a user may send them, drop out."""
+        return {k: int(bool(v)) for k, v in fields.items() if isinstance(v, (bool, int, float))}
+
     def selected(self) -> bool:
         return bool(self._fields)
 

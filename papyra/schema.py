@@ -82,6 +82,11 @@ class Field:
         self.validators.append(("custom", check, message or f"{self.path} is invalid"))
         return self
 
+    def validate_all(self, df: Any) -> bool:
+        """Whether every validator of this field holds for all rows of a DataFrame; one aggregate."""
+        broken = [c for _, c in self.violations(name(self.path))] if self.path in df.columns else []
+        return not broken or df.where(F.greatest(*broken, F.lit(False))).isEmpty()
+
     def required(self, on: bool | str | list = True) -> "Field":
         self.options["required"] = on
         return self

@@ -278,6 +278,13 @@ def test_unsupported(db):
             call()
 
 
+def test_small_parts_of_the_interface(spark, db):
+    assert Query.sanitize_projection({"a": 1, "b": False, "c": "$x", "d": {"$sum": 1}, "e": 0}) == {"a": 1, "b": 0, "e": 0}
+    assert db.set_client(None) is db and db.as_promise() is db
+    field = papyra.Schema({"a": {"type": "Integer", "min": 1, "required": True}}).path("a")
+    assert [field.validate_all(spark.createDataFrame(rows, "a int")) for rows in ([(1,), (5,)], [(1,), (0,)], [(1,), (None,)])] == [True, False, False]
+
+
 def test_query_builder(spark):
     q = Query(lambda: spark.range(20).withColumnRenamed("id", "n"))
     assert [r.n for r in q.where("n").gte(3).lte(9).ne(5).mod(2, 1).sort("-n").df().collect()] == [9, 7, 3]
