@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.common import LOWER, UPPER, ascii_lower, checkpoint, read, skew_safe_join
 
-BITS_PER_ROW = 16
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
+BITS_PER_ROW = 32
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 
 
 def repeat_filter(hashes: DataFrame, n: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
     """Pass 1: a blocked Bloom filter of what may occur twice, as rows (_word, _mask) of 64-bit words.
 
-    A hash (column _h) sets two bits of one word. Bits set by at least two rows are kept. Counting is a partial
-    aggregate, so a value held by a third of all rows is one count per task. The filter has at most max_bits bits,
-    whatever the input: that is the bound under which it is broadcast (beyond it the filter only lets more rows pass).
+    A hash (column _h) sets one bit. Bits set by at least two rows are kept. Counting is a partial aggregate, so a value
+    held by a third of all rows is one count per task. The filter has at most max_bits bits, whatever the input: that is
+    the bound under which it is broadcast. Beyond max_bits / bits_per_row rows it lets more and more rows pass, which then
+    shuffle their digests, in the end all: results are the same, and texts never move.
     """
     bits = min(max_bits, max(MIN_BITS, 1 << max(1, int(n * bits_per_row - 1)).bit_length()))
     words = bits // 64
     cells = hashes.select(
         F.pmod(F.col("_h"), F.lit(words)).alias("_word"),
-        F.explode(F.array_distinct(F.array(*bit_columns()))).alias("_bit"),
+        bit_column().alias("_bit"),
     )
     twice = cells.groupBy("_word", "_bit").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
     return twice.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask")), words
 
 
-def bit_columns() -> list:
-    return [F.expr("cast(shiftrightunsigned(_h, 52) & 63 as int)"), F.expr("cast(shiftrightunsigned(_h, 58) & 63 as int)")]
+def bit_column() -> Column:
+    return F.expr("cast(shiftrightunsigned(_h, 58) as int)")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
@@ -49,9 +50,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     )
     n = rows.count()
     mask, words = repeat_filter(rows, n, bits_per_row, max_bits)
-    one, two = bit_columns()
-    has = lambda bit: F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
-    probed = rows.withColumn("_word", F.pmod(F.col("_h"), F.lit(words))).join(F.broadcast(mask), "_word", "left").withColumn("_maybe", F.coalesce(has(one) & has(two), F.lit(False)))
+    has = F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit_column())) != 0
+    probed = rows.withColumn("_word", F.pmod(F.col("_h"), F.lit(words))).join(F.broadcast(mask), "_word", "left").withColumn("_maybe", F.coalesce(has, F.lit(False)))
     probed = checkpoint(probed.select("_id", "_sha", "_maybe"))
     single = probed.where(~F.col("_maybe")).select("_id", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     maybe = probed.where("_maybe").select("_id", "_sha")
