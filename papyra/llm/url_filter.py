@@ -11,7 +11,8 @@ from papyra.llm.common import LOWER, UPPER, checkpoint, read, skew_safe_join
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Suffixes of two labels; any other suffix is the last label.
+#: Suffixes of two labels, where sites of different owners share a registry; any other suffix is the last label. A caller
+#: with a complete list (of two and three labels, however many) passes it as `suffixes`.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 #: Normal quantile of the one-sided posterior bound, and the bad rate it must exceed.
 Z, THRESHOLD = 1.645, 0.5
@@ -25,9 +26,7 @@ def host_of(url: Column) -> tuple[Column, Column]:
 
 
 def rule_columns(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest fitting rule; of equally long ones the block, then the alphabetically first."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compiled into the plan")
+    """(rule, verdict) of the longest fitting rule; of equally long ones the block, then the alphabetically last."""
     name = verdict = F.lit(None).cast("string")
     for kind, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "block", r[1] + r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
@@ -35,6 +34,19 @@ def rule_columns(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]
     return name, verdict
 
 
+def rules_joined(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """pages (host, path, ...) with rule and _verdict as rule_columns gives them, by joining each host's tails with the rules' hosts."""
+    table = pages.sparkSession.createDataFrame([(h, p, k, h + p) for k, h, p in rules], "_rhost string, _rpath string, _kind string, _name string")
+    urls = pages.select("host", "path").distinct()
+    tails = urls.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.concat_ws(".", F.slice(F.split("host", r"\."), i, 1 << 20)))).alias("_rhost"))
+    best = F.max_by(F.struct("_name", "_kind"), F.struct(F.length("_name"), F.col("_kind") == "block", F.col("_name")))
+    fit = tails.join(table, "_rhost").where(F.col("path").startswith(F.col("_rpath"))).groupBy("host", "path").agg(best.alias("_best"), F.count(F.lit(1)).alias("_fits"))
+    sizes = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_rows"))
+    fit = checkpoint(fit.join(sizes, ["host", "path"]).select(F.struct("host", "path").alias("_at"), "_best", "_rows"))
+    out = skew_safe_join(checkpoint(pages.withColumn("_at", F.struct("host", "path"))), fit, "_at", "_rows", pages.count())
+    return out.select(*pages.columns, F.col("_best._name").alias("rule"), F.col("_best._kind").alias("_verdict"))
+
+
 def strength(children: DataFrame) -> float:
     """Prior strength by the method of moments: columns _n, _b (labelled, bad) and _m (the parent's mean)."""
     v = F.col("_m") * (1 - F.col("_m"))
@@ -49,22 +61,29 @@ def shrink(children: DataFrame, k: float) -> DataFrame:
     return children.withColumn("_m", (F.col("_b") + k * F.col("_m")) / (F.col("_n") + k))
 
 
-def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, threshold: float = THRESHOLD) -> DataFrame:
+def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, threshold: float = THRESHOLD, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, n_labelled (of the host), bad_bound.
 
     Pages that fit a rule are the labelled outcomes (block: bad). Bad rates shrink through beta-binomial priors from
     the global rate to suffix, registered domain and host, each level's strength fitted by moments. A page without a
-    rule is blocked when the lower posterior bound of its host's bad rate (mean - z sd) exceeds threshold.
+    rule is blocked when the lower posterior bound of its host's bad rate (mean - z sd) exceeds threshold. Up to MAX_RULES rules are compiled
+    into the plan, more are joined by host. suffixes: those of two and three labels; all others are taken to have one, so under a
+    suffix that the list lacks unrelated sites share a domain's prior. A user or port counts for the host, not for its domain and suffix.
 
     A null url, or one without ``://``, has an empty host and path and shares the reputation of the empty host. Null
     and repeated ids keep their rows. An empty table gives an empty result. Other columns are ignored.
     """
     host, path = host_of(F.col("_url"))
     pages = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url")).select("_id", host.alias("host"), path.alias("path"))
-    rule, verdict = rule_columns(rules)
-    pages = checkpoint(pages.select("_id", "host", "path", rule.alias("rule"), verdict.alias("_verdict")))
-    labels = F.split("host", r"\.")
-    deep = F.when((F.size(labels) > 2) & F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)).isin(*TWO_LABEL_SUFFIXES), 2).otherwise(1) if TWO_LABEL_SUFFIXES else F.lit(1)
+    if len(rules) <= MAX_RULES:
+        rule, verdict = rule_columns(rules)
+        pages = checkpoint(pages.select("_id", "host", "path", rule.alias("rule"), verdict.alias("_verdict")))
+    else:
+        pages = checkpoint(rules_joined(checkpoint(pages), rules))
+    # Users and ports say nothing about who owns a host.
+    labels = F.split(F.regexp_replace("host", r"^.*@|:[0-9]*$", ""), r"\.")
+    ends = lambda n: (F.size(labels) > n) & F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n)).isin(*(x for x in suffixes if x.count(".") == n - 1))
+    deep = F.when(ends(3), 3).when(ends(2), 2).otherwise(1)
     tail = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n))
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("_rows"), F.count("_verdict").alias("_n"), F.count_if(F.col("_verdict") == "block").alias("_b"))
     hosts = checkpoint(hosts.withColumn("_suffix", tail(deep)).withColumn("_domain", tail(deep + 1)))
@@ -105,7 +124,7 @@ _SUFFIXES = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 SQL = f"""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
-p as (select *, {_sql_rules()} as hit, string_split(host, '.') as l from h),
+p as (select *, {_sql_rules()} as hit, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as l from h),
 q as (select *, case when len(l) > 2 and array_to_string(l[-2:], '.') in ({_SUFFIXES}) then 2 else 1 end as deep from p),
 hosts as (select host, any_value(array_to_string(l[greatest(1, len(l) - deep + 1):], '.')) as suffix, any_value(array_to_string(l[greatest(1, len(l) - deep):], '.')) as domain,
   count(hit)::double as n, (count(*) filter (where hit like 'block %'))::double as b from q group by host),

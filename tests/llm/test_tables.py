@@ -106,6 +106,24 @@ def test_hosts_of_bad_repute_are_blocked(spark):
     assert (found[900], found[901], found[902]) == ("block", "allow", "allow")
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    """Beyond what the plan takes, the same rules fit."""
+    df = spark.createDataFrame(ODD_URLS, "page_id bigint, url string")
+    rules = [*url_filter.RULES, ("block", "org", "/en"), ("allow", "b.com", ""), *((("allow", "block")[i % 2], f"h{i}.net", "/") for i in range(40))]
+    get = lambda: sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df, rules=rules).collect()), key=repr)
+    compiled = get()
+    monkeypatch.setattr(url_filter, "MAX_RULES", 0)
+    assert get() == compiled and any(r[3] for r in compiled)
+
+
+def test_domains_of_hosts(spark):
+    """Ports and users don't make a domain, and suffixes are as given."""
+    bad = [(i, f"http://u@a.evil.com:80{i % 10}/de/{i}") for i in range(40)]
+    rows = [*bad, (900, "http://evil.com/x"), (901, "http://b.evil.com:99/x"), *((200 + i, f"http://{i}.good.com/fr/") for i in range(200)), *((500 + i, f"http://s{i}.gov.xx/fr/") for i in range(30)), (903, "http://new.gov.xx/x")]
+    found = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string"), suffixes=("gov.xx", "a.gov.xx")).collect()}
+    assert found[900].bad_bound > found[903].bad_bound and found[901].bad_bound > found[903].bad_bound
+
+
 def test_url_query(spark, sf):
     assert differences(url_filter.op7_url_filter(spark, sf), sf, url_filter.SQL) == ""
 
