@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -74,42 +74,57 @@ def shared_folder(spark: SparkSession) -> str:
     warehouse otherwise.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None:
             local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
             named = tempfile.mkdtemp(prefix="papyra-ckpt-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc.getCheckpointDir().rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that it survives lost executors; cuts the lineage.
+#: Folders of tables written in the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
 
-    A checkpoint inherits the estimated size of its plan. Joins multiply such estimates, so over rounds of joins they
-    become numbers of millions of digits, with which the planner never ends. Made anew from the checkpoint's rows, the
-    frame starts from the default estimate.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
-    held = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: it survives lost executors, and its lineage ends."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def release(spark: SparkSession) -> None:
-    """Have the files of shuffles and checkpoints that nothing refers to any more removed.
 
-    Spark does so only after the driver has collected its garbage, which between rounds of joins it has no reason to do.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+#: Tables between the steps of an operator. Unlike Spark's checkpoints, they don't inherit the estimated size of their plan,
+#: which joins multiply, over rounds of joins to numbers of millions of digits with which the planner never ends.
+checkpoint = written
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables written inside are removed at the end, but for those that the frames given to the yielded function read."""
+    held: list[str] = []
+    kept: set[str] = set()
+
+    def keep(*frames: DataFrame) -> None:
+        for f in frames:
+            kept.update(x for x in held if any(f"/{x.rpartition('/')[2]}/" in file for file in f.inputFiles()))
+
+    _scopes.append(held)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        if _scopes:
+            _scopes[-1] += [x for x in held if x in kept]
+        remove(spark, (x for x in held if x not in kept))
 
 
 #: Most ids of dropped rows that are broadcast (some 32 bytes each); beyond, the same join shuffles.

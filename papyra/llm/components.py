@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import checkpoint
+from papyra.llm.common import checkpoint, scratch
 
 
 def _state(links: DataFrame) -> tuple[int, int]:
@@ -36,9 +36,11 @@ def components(links: DataFrame) -> DataFrame:
     links = checkpoint(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     state = _state(links)
     while state[0]:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = checkpoint(_stars(both, small=False))
-        links = checkpoint(_stars(large, small=True))
+        with scratch(links.sparkSession) as keep:
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = checkpoint(_stars(both, small=False))
+            links = checkpoint(_stars(large, small=True))
+            keep(links)
         was, state = state, _state(links)
         if was == state:
             break

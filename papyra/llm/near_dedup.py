@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import checkpoint, read, release, ship, worker_cache
+from papyra.llm.common import checkpoint, read, scratch, ship, worker_cache
 from papyra.llm.components import components
 
 #: A signature has K symbols of 16 bits. At similarity 0.8 the symbols that differ number 12.8 on average, with a
@@ -25,6 +25,8 @@ CHUNK_TURNS = ((0,), (1, 2), (3, 4, 5, 6), tuple(range(7, CHUNKS)))
 BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1_000_000, 4096
 #: Most nodes by which the texts are filtered with a broadcast (16 bytes each); beyond, that join shuffles.
 BROADCAST_NODES = 1_000_000
+#: Bits of the broadcast filter of shared keys, at most.
+FILTER_BITS = 1 << 28
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -260,13 +262,15 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     ship(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
-    prints = checkpoint(source.mapInArrow(_fingerprints(n), f"_id {kind}, _n bigint, _set binary, _sig binary").withColumn("_c", F.xxhash64("_set")))
-    rows = checkpoint(prints.groupBy("_c").agg(F.min("_id").alias("_rep"), F.first("_set").alias("_set"), F.first("_sig").alias("_sig"), F.first("_n").alias("_m")).where("_set is not null"))
-    labels = _label(source, rows, n, percent)
-    node = checkpoint(rows.select("_c", "_rep").join(labels, F.col("_c") == F.col("u"), "left").select("_c", "_rep", F.coalesce("label", "_c").alias("_label")))
-    # A component's smallest id is a partial aggregate; the joins that bring it back split hot components and copies.
-    least = checkpoint(node.groupBy("_label").agg(F.min("_rep").alias("_least")))
-    node = checkpoint(node.join(least, "_label").select("_c", "_least"))
+    with scratch(df.sparkSession) as keep:
+        prints = checkpoint(source.mapInArrow(_fingerprints(n), f"_id {kind}, _n bigint, _set binary, _sig binary").withColumn("_c", _number("_set")))
+        prints, rows = _nodes(prints)
+        labels = _label(source, rows, n, percent)
+        node = checkpoint(rows.select("_c", "_rep").join(labels, F.col("_c") == F.col("u"), "left").select("_c", "_rep", F.coalesce("label", "_c").alias("_label")))
+        # A component's smallest id is a partial aggregate; the joins that bring it back split hot components and copies.
+        least = checkpoint(node.groupBy("_label").agg(F.min("_rep").alias("_least")))
+        node = checkpoint(node.join(least, "_label").select("_c", "_least"))
+        keep(prints, node)
     some = prints.where("_set is not null").select("_id", "_n", "_c").join(node, "_c")
     none = prints.where("_set is null").select("_id", "_n", F.col("_id").alias("_least"))
     out = some.select("_id", "_n", "_least").unionByName(none)
@@ -274,6 +278,23 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("_id") == own, F.lit(False)).alias("kept"))
 
 
+def _number(column: str, salt: int | None = None) -> Column:
+    return F.xxhash64(column) if salt is None else F.xxhash64(F.lit(salt), column)
+
+
+def _nodes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prints, a row for each different set), with a number for each set: its 64-bit hash, made anew where 128-bit digests tell
+    that unlike sets share one. Such sets are few whatever the number of texts (some hundred of 10**11)."""
+    for salt in range(100):
+        found = prints.where("_set is not null").groupBy("_c").agg(F.min("_id").alias("_rep"), F.min("_set").alias("_set"), F.max("_set").alias("_other"), F.first("_sig").alias("_sig"), F.first("_n").alias("_m"))
+        rows = checkpoint(found)
+        clash = rows.where("_set != _other").select("_c", F.lit(True).alias("_clash"))
+        if clash.isEmpty():
+            return prints, rows.drop("_other")
+        prints = checkpoint(prints.join(_few(clash), "_c", "left").withColumn("_c", F.when(F.col("_clash"), _number("_set", salt)).otherwise(F.col("_c"))).drop("_clash"))
+    raise RuntimeError("numbers of sets clash time and again")
+
+
 def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, label) of the nodes that are linked: label is the same for all nodes of a component, and one of them.
 
@@ -281,12 +302,12 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
     split the rows of a hot key. A component label that nodes share says that links connect them (not that all that
     links connect share it): it only saves comparisons. What it leaves open is joined up at the end.
     """
-    keys = rows.select("_c", "_sig").mapInArrow(_keys, "_key bigint, _c bigint")
-    shared = checkpoint(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"))
-    state = checkpoint(keys.join(shared, "_key").select("_key", "_c", F.col("_c").alias("_comp")))
+    with scratch(source.sparkSession) as keep:
+        keys = checkpoint(rows.select("_c", "_sig").mapInArrow(_keys, "_key bigint, _c bigint"))
+        shared = checkpoint(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"))
+        state = checkpoint(_perhaps(keys, shared).join(shared, "_key").select("_key", "_c", F.col("_c").alias("_comp")))
+        keep(state)
     sets = checkpoint(_sets_of(source, rows, state, n))
-    del keys, shared
-    release(source.sparkSession)
     links = None
 
     def open_keys(state: DataFrame, chunks: tuple[int, ...] = (), turn: int = 0) -> DataFrame:
@@ -307,20 +328,20 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
             break
         pairs = state.join(keys_left, "_key").where("_pivot._comp != _comp").groupBy("_c").agg(F.min("_comp").alias("a"), F.min("_pivot").alias("_p"))
         pairs = pairs.select(F.col("_c").alias("u"), F.col("_p._c").alias("v"), "a", F.col("_p._comp").alias("b"))
-        found = checkpoint(_confirm(pairs, sets, percent).select("a", "b"))
+        with scratch(source.sparkSession) as keep:
+            found = checkpoint(_confirm(pairs, sets, percent).select("a", "b"))
+            state = hooked(state, found)
+            keep(found, state)
         links = found if links is None else links.unionByName(found)
-        state = hooked(state, found)
-        del keys_left, pairs, found
-        release(source.sparkSession)
     for chunks in CHUNK_TURNS:
         keys_left = open_keys(state, chunks)
         if keys_left.isEmpty():
             continue
-        found = checkpoint(_cells(state, keys_left, rows, sets, percent).mapInArrow(_links(percent), "a bigint, b bigint").distinct())
+        with scratch(source.sparkSession) as keep:
+            found = checkpoint(_cells(state, keys_left, rows, sets, percent).mapInArrow(_links(percent), "a bigint, b bigint").distinct())
+            state = hooked(state, found)
+            keep(found, state)
         links = found if links is None else links.unionByName(found)
-        state = hooked(state, found)
-        del keys_left, found
-        release(source.sparkSession)
     if links is None:
         return rows.select(F.col("_c").alias("u"), F.col("_c").alias("label")).limit(0)
     nodes = checkpoint(state.select("_c", "_comp").distinct())
@@ -330,17 +351,35 @@ def _label(source: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
     return nodes.join(components(rest).withColumnRenamed("u", "_comp"), "_comp", "left").select(F.col("_c").alias("u"), F.coalesce("label", "_comp").alias("label"))
 
 
+def _perhaps(keys: DataFrame, shared: DataFrame) -> DataFrame:
+    """keys without most of those that aren't in shared, by a broadcast filter of a bit for each shared key: at most FILTER_BITS
+    bits, however many keys there are (a fuller filter only lets more rows pass on to the join)."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << max(1, 32 * shared.count() - 1).bit_length()))
+    h = F.xxhash64("_key")
+    word, bit = F.pmod(h, F.lit(bits // 64)).alias("_word"), F.shiftrightunsigned(h, 58).cast("int").alias("_bit")
+    mask = shared.select(word, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask"))
+    probed = keys.select("*", word, bit).join(F.broadcast(mask), "_word")
+    return probed.where(F.expr("(_mask & shiftleft(1L, _bit)) != 0")).select("_key", "_c")
+
+
 def _sets_of(source: DataFrame, rows: DataFrame, state: DataFrame, n: int) -> DataFrame:
     """(_c, _shingles) of the nodes that share a bucket, from the text of each node's first row."""
     wanted = checkpoint(rows.join(state.select("_c").distinct(), "_c").select("_rep").distinct())
     texts = source.join(_few(wanted), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_id", "_text")
     sets = texts.mapInArrow(_set_rows(n), "_set binary, _shingles array<bigint>")
-    return sets.where("_set is not null").select(F.xxhash64("_set").alias("_c"), "_shingles").dropDuplicates(["_c"])
+    return sets.where("_set is not null").dropDuplicates(["_set"]).join(rows.select("_set", "_c"), "_set").select("_c", "_shingles")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v, and their components a, b) whose full sets are similar enough."""
-    of = lambda end: sets.select(F.col("_c").alias(end), F.col("_shingles").alias(f"_{end}"))
+    pairs = checkpoint(pairs)
+
+    def of(end: str) -> DataFrame:
+        """The sets of one end; those of nodes that no pair has don't move, while the nodes that have one are few."""
+        nodes = checkpoint(pairs.select(F.col(end).alias("_c")).distinct())
+        own = sets.join(F.broadcast(nodes), "_c", "left_semi") if nodes.count() <= BROADCAST_NODES else sets
+        return own.select(F.col("_c").alias(end), F.col("_shingles").alias(f"_{end}"))
+
     both = pairs.join(of("u"), "u").join(of("v"), "v")
     both = both.select("u", "v", "a", "b", F.size(F.array_intersect("_u", "_v")).cast("long").alias("_i"), (F.size("_u") + F.size("_v")).cast("long").alias("_t"))
     return both.where(100 * F.col("_i") >= percent * (F.col("_t") - F.col("_i"))).select("u", "v", "a", "b")
@@ -382,8 +421,6 @@ def _cells(state: DataFrame, keys: DataFrame, rows: DataFrame, sets: DataFrame,
     cells = left.select("_key", "_c", "_comp", "_m", F.explode(along).alias("_cell")).join(own.select("_c", "_sig"), "_c")
     cells = _sorted(cells.select("_key", "_cell._i", "_cell._j", "_cell._side", "_comp", "_m", "_sig", "_c"))
     open_cells = checkpoint(cells.mapInArrow(_candidates(percent), "_key bigint, _i int, _j int, _side int, _comp bigint, _c bigint"))
-    del left, own, comps, top, cells
-    release(state.sparkSession)
     needed = checkpoint(open_cells.select("_c").distinct())
     own = checkpoint(sets.join(_few(needed), "_c", "left_semi"))
     return _sorted(open_cells.join(own, "_c").select("_key", "_i", "_j", "_side", "_comp", "_shingles"))

@@ -154,3 +154,32 @@ def test_components_of_a_chain(spark):
     found = {r.u: r.label for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(1, 61)}, 101: 100}
     assert components(links.limit(0)).collect() == []
+
+
+def test_unlike_sets_that_share_a_number(spark, monkeypatch):
+    """Numbers of sets that clash are told by the digests and made anew."""
+    from papyra.llm import near_dedup as module
+
+    number = module._number
+    monkeypatch.setattr(module, "_number", lambda c, salt=None: number(c, salt) if salt is not None else number(c) % 4)
+    r = random.Random(2)
+    base = " ".join(f"w{r.randrange(50)}" for _ in range(40))
+    rows = [(i, base + (f" x{i}" if i % 3 else "")) for i in range(12)] + [(100 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(20)] + [(200, None)]
+    assert found_near(spark.createDataFrame(rows, "doc_id bigint, text string"), 4) == sorted(near(rows, 4), key=repr)
+
+
+def test_tables_between_steps_go(spark, sf):
+    """What is written and not read by the result is removed."""
+    import os
+
+    from papyra.llm.common import scratch, shared_folder, written
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch(spark) as keep:
+        a = written(spark.range(5))
+        b = written(a.where("id > 1"))
+        keep(b)
+    assert len(set(os.listdir(folder)) - before) == 1 and b.count() == 3
+    out = op4_near_dedup(spark, sf)
+    assert len(set(os.listdir(folder)) - before) <= 4 and out.count() > 0
