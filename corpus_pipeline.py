@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.bpe import round_trip
-from papyra.llm.common import read, row_key, without, written
+from papyra.llm.common import read, remove, row_key, scratch, without, written
 from papyra.llm.decontaminate import WINDOW, contamination, is_contaminated
 from papyra.llm.exact_dedup import exact_dedup
 from papyra.llm.near_dedup import near_dedup
@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Each stage's table goes when the next one stands, and what a stage wrote for itself when its own does."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir))
+            keep(docs)
+        remove(spark, before)
+        before = [file.rpartition("/")[0] for file in docs.inputFiles()[:1]]
     return STAGES[-1][1](spark, docs, sf_dir)
