@@ -148,9 +148,9 @@ def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
 
     Rows that repeat both id and text stay or go together.
     """
-    dropped = checkpoint(dropped.select(F.xxhash64("_dropped.id", "_dropped.hash", F.lit("k")).alias("_dropped")).distinct())
+    dropped = checkpoint(dropped.select(F.col("_dropped.id").alias("_dropped_id"), F.col("_dropped.hash").alias("_dropped_hash")).distinct())
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, F.xxhash64(key["id"], key["hash"], F.lit("k")) == dropped["_dropped"], "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, key["id"].eqNullSafe(dropped["_dropped_id"]) & (key["hash"] == dropped["_dropped_hash"]), "left_anti")
 
 
 def skew_safe_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
