@@ -87,10 +87,13 @@ def shared_folder(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it survives lost executors, and its lineage ends."""
+def written(df: DataFrame, *more: DataFrame) -> DataFrame:
+    """df, and those of more after it, written as one Parquet table in the shared folder and read again: it survives lost
+    executors, and its lineage ends."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for other in more:
+        other.write.mode("append").parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,14 +34,21 @@ def test_exact_on_odd_rows(odd, odd_rows):
     assert sorted(map(tuple, found), key=repr) == exact(odd_rows)
 
 
-@pytest.mark.parametrize("max_bits", [64 * 1, 1 << 10, 1 << 20])
-def test_exact_with_full_filters(spark, max_bits):
-    """A filter too small for its rows only lets more rows pass."""
+@pytest.mark.parametrize("bits, max_bits", [(0.06, 64), (1, 1 << 10), (32, 1 << 20), (1, 64 * 4), (32, 1 << 13)])
+def test_exact_with_full_filters_and_many(spark, bits, max_bits):
+    """A filter too small for its rows only lets more rows pass; more rows than one filter holds have several."""
     rows = [(i, f"text {i % 300 if i % 3 else 'hot'}") for i in range(1000)]
-    found = ex.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), max_bits=max_bits).collect()
+    found = ex.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), bits_per_row=bits, max_bits=max_bits).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found), key=repr) == exact(rows)
 
 
+@pytest.mark.parametrize("k", [1, 3, 7, 64])
+def test_ranges_of_hashes(spark, k):
+    hashes = [random.Random(k).getrandbits(64) - 2**63 for _ in range(500)] + [-(2**63), 2**63 - 1, 0, -1] + [ex.least(i, k) + d for i in range(1, k) for d in (-1, 0)]
+    found = {r._h: r.s for r in spark.createDataFrame([(h,) for h in hashes], "_h bigint").select("_h", ex.slice_column(k).alias("s")).collect()}
+    assert all(ex.least(found[h], k) <= h < ex.least(found[h] + 1, k) and 0 <= found[h] < k for h in hashes)
+
+
 def test_exact_query(spark, sf):
     assert differences(ex.op3_exact_dedup(spark, sf), sf, ex.SQL) == ""
 
