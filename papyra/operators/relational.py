@@ -253,21 +253,22 @@ def bucket(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
     return _grouped_output(rows, key, spec, ctx).orderBy("_id")
 
 
-def numbered(df: DataFrame, value: Column) -> DataFrame:
-    """df with _rank: 0, 1, ... by value over all rows, without one task that sorts everything.
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df dealt to tasks by ranges of the order (ties: by all values), sorted there, and written with _part, which numbers
+    the ranges, and _at: 0, 1, ... in each. No task sorts everything, and places need no second shuffle."""
+    order = [*order, *(name(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType)))]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    return checkpoint(rows.withColumn("_part", F.shiftright("_place", 33)).withColumn("_at", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place"))
 
-    Rows are range-partitioned and written; each partition's rows are numbered after those of the partitions before,
-    whose sizes (one number per partition) are all that is collected.
-    """
-    ties = [name(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    dealt = df.withColumn("_value", value)
-    dealt = checkpoint(dealt.repartitionByRange(F.col("_value").asc_nulls_first(), *ties).withColumn("_part", F.spark_partition_id()))
+
+def numbered(df: DataFrame, value: Column) -> DataFrame:
+    """df with _rank: 0, 1, ... by value over all rows; the ranges' sizes (one number for each) are all that is collected."""
+    dealt = placed(df.withColumn("_value", value), [F.col("_value").asc_nulls_first()])
     before, offsets = 0, {}
     for r in dealt.groupBy("_part").count().orderBy("_part").collect():
         offsets[r._part], before = before, before + r["count"]
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("_part")) if offsets else F.lit(0)
-    at = F.row_number().over(W.partitionBy("_part").orderBy(F.col("_value").asc_nulls_first(), *ties)) - 1
-    return dealt.withColumn("_rank", at.cast("long") + offset).withColumn("_rows", F.lit(before).cast("long")).drop("_part")
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in offsets.items() for x in kv)), F.col("_part")) if offsets else F.lit(0)
+    return dealt.withColumn("_rank", F.col("_at") + offset).withColumn("_rows", F.lit(before).cast("long")).drop("_part", "_at")
 
 
 def bucket_auto(df: DataFrame, spec: Mapping, ctx) -> DataFrame:

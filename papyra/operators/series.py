@@ -14,12 +14,16 @@ from papyra.functions.accumulators import compile_accumulator
 from papyra.functions.expressions import compile_expr
 from papyra.functions.filters import compile_filter
 from papyra.functions.paths import name, resolve
-from papyra.operators.relational import join_key
+from papyra.operators.relational import join_key, placed
 from papyra.session import checkpoint
 
-#: Grid points of one $densify partition, at most; more is an error rather than a surprise.
-MAX_GRID = 10_000_000
-_UNITS = {"second": "SECOND", "minute": "MINUTE", "hour": "HOUR", "day": "DAY", "week": "WEEK", "month": "MONTH", "quarter": "QUARTER", "year": "YEAR"}
+#: Grid points of $densify that one row makes; longer grids are made of several, by several tasks.
+GRID = 100_000
+#: Each unit as an interval, and the least seconds that it lasts (a day may have 23 hours).
+_UNITS = {
+    "second": ("1 SECOND", 1), "minute": ("1 MINUTE", 60), "hour": ("1 HOUR", 3600), "day": ("1 DAY", 82800), "week": ("7 DAY", 7 * 82800),
+    "month": ("1 MONTH", 28 * 82800), "quarter": ("3 MONTH", 84 * 82800), "year": ("1 YEAR", 365 * 82800),
+}
 
 
 def graph_lookup(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
@@ -72,17 +76,23 @@ def densify(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
     """Adds a row (partition fields and `field`) at each grid point that has none; existing rows all stay.
 
     range: step, unit (for times), bounds: 'full' (of all rows), 'partition' (the default) or [low, high], inclusive.
+    Points are low + i * step; a grid of any length is made in blocks of GRID points, which tasks share.
     """
     field, by = spec["field"], list(spec.get("partitionByFields", ()))
     step, unit, bounds = spec["range"]["step"], spec["range"].get("unit"), spec["range"].get("bounds", "partition")
     kind = df.schema[field].dataType
+    if step <= 0:
+        raise ValueError("step must be positive")
+    i = F.col("_i")
     if unit:
         single = unit.rstrip("s")
         if single not in _UNITS:
             raise ValueError(f"unknown unit {unit}")
-        stride = F.expr(f"INTERVAL {int(step)} {_UNITS[single]}")
+        length, seconds = _UNITS[single]
+        at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        last, point = F.floor((at("_high") - at("_low")) / F.lit(int(step) * seconds * 1_000_000)), F.col("_low") + F.expr(f"INTERVAL {length}") * (i * F.lit(int(step)))
     else:
-        stride = F.lit(step).cast(kind)
+        last, point = F.floor((F.col("_high") - F.col("_low")) / F.lit(step)), F.col("_low") + i * F.lit(step)
     low, high = F.min(name(field)), F.max(name(field))
     keys = [name(c) for c in by]
     if isinstance(bounds, (list, tuple)):
@@ -93,12 +103,13 @@ def densify(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
         ends = df.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"))
     else:
         raise ValueError(f"unknown bounds {bounds}")
-    points = F.sequence("_low", "_high", stride)
-    checked = F.when(F.size(points) <= MAX_GRID, points).otherwise(F.raise_error(F.lit(f"more than {MAX_GRID} grid points")))
-    if not isinstance(kind, (T.IntegralType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-        # Not by repeated addition: each point is low + i * step.
-        checked = F.transform(F.sequence(F.lit(0), F.floor((F.col("_high") - F.col("_low")) / F.lit(step)).cast("int")), lambda i: F.col("_low") + i * F.lit(step))
-    grid = ends.where("_low is not null").select(*keys, F.explode(checked).alias("_point")).withColumn("_point", F.col("_point").cast(kind)).withColumnRenamed("_point", field)
+    ends = ends.where("_low <= _high").select(*keys, "_low", "_high", last.cast("long").alias("_last"))
+    blocks = ends.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / F.lit(GRID)))))
+    # A number of partitions is given: blocks are small before they are unfolded, so they would be put together again.
+    blocks = blocks.repartition(int(ctx.spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
+    start = F.col("_block") * GRID
+    points = blocks.select(*keys, "_low", "_high", F.explode(F.sequence(start, F.least("_last", start + (GRID - 1)))).alias("_i"))
+    grid = points.select(*keys, "_high", point.cast(kind).alias(field)).where(name(field) <= F.col("_high")).drop("_high")
     have = df.select(*keys, name(field)).distinct()
     on = None
     a, b = grid.alias("a"), have.alias("b")
@@ -111,7 +122,8 @@ def densify(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
 def fill(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
     """output: {field: 'linear' | 'locf' | {'method': ...} | {'value': ...}}, by sortBy within partitionByFields.
 
-    linear interpolates by position over runs of nulls between two values; locf carries the last value forward.
+    linear interpolates by position over runs of nulls between two values; locf carries the last value forward. Without
+    partitions no task sees all rows.
     """
     by = [name(c) for c in spec.get("partitionByFields", ())]
     if "partitionBy" in spec:
@@ -123,6 +135,10 @@ def fill(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
         methods[field] = how if isinstance(how, str) else how.get("method", how)
     if not keys and any(m in ("linear", "locf") for m in methods.values()):
         raise ValueError("$fill needs sortBy")
+    ordered = {f: m for f, m in methods.items() if m in ("linear", "locf")}
+    if ordered and not by:
+        df = _filled(df, keys, ordered)
+        methods = {f: m for f, m in methods.items() if f not in ordered}
     w = W.partitionBy(*by).orderBy(*keys) if keys else None
     values: dict[str, Column] = {}
     for field, how in methods.items():
@@ -143,6 +159,33 @@ def fill(df: DataFrame, spec: Mapping, ctx) -> DataFrame:
     return df.withColumns(values) if values else df
 
 
+def _filled(df: DataFrame, keys: list[Column], methods: Mapping[str, str]) -> DataFrame:
+    """All rows as one series: each range of the order fills itself, and takes the last value of those before and the first
+    of those after where it lacks one. A row for each range is all that meets in one task."""
+    rows = placed(df, keys)
+    ahead = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy("_part").orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, 0)
+    known = {f: F.when(name(f).isNotNull(), F.struct(F.col("_at").alias("i"), name(f).alias("v"))) for f in methods}
+    numbers = {f: (f"_first{j}", f"_last{j}") for j, f in enumerate(methods)}
+    ends = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), *(pick(known[f], known[f]["i"]).alias(c) for f in methods for pick, c in zip((F.min_by, F.max_by), numbers[f], strict=True)))
+    before, after = (W.orderBy(by).rowsBetween(W.unboundedPreceding, -1) for by in (F.col("_part"), F.desc("_part")))
+    ends = ends.withColumn("_from", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    placed_at = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("_from")).alias("i"), F.col(f"{c}.v").alias("v")))
+    ends = ends.withColumns({c: placed_at(c) for pair in numbers.values() for c in pair})
+    near = {c: F.last(c, ignorenulls=True).over(w).alias(c) for first, last in numbers.values() for c, w in ((first, after), (last, before))}
+    out = rows.join(F.broadcast(ends.select("_part", "_from", *near.values())), "_part").withColumn("_at", F.col("_at") + F.col("_from"))
+    values = {}
+    for f, how in methods.items():
+        first, last = numbers[f]
+        a, b = F.coalesce(F.last(known[f], ignorenulls=True).over(ahead), F.col(last)), F.coalesce(F.last(known[f], ignorenulls=True).over(back), F.col(first))
+        if how == "locf":
+            values[f] = a["v"]
+        else:
+            low, high = a["v"].cast("double"), b["v"].cast("double")
+            values[f] = F.coalesce(name(f).cast("double"), low + (high - low) * (F.col("_at") - a["i"]) / (b["i"] - a["i"]))
+    return out.withColumns(values).select(*(name(c) for c in df.columns))
+
+
 _RANKS = {"$rank": F.rank, "$denseRank": F.dense_rank, "$documentNumber": F.row_number, "$rowNumber": F.row_number}
 
 

@@ -202,6 +202,7 @@ pipe("fill_linear", "events", [_SPARSE, {"$fill": {"partitionByFields": ["user_i
 f as (select *, last_value(case when v is not null then i end ignore nulls) over (w rows unbounded preceding) as ai, last_value(v ignore nulls) over (w rows unbounded preceding) as av,
 first_value(case when v is not null then i end ignore nulls) over (w rows between current row and unbounded following) as bi, first_value(v ignore nulls) over (w rows between current row and unbounded following) as bv from s window w as (partition by user_id order by event_id))
 select event_id, round(coalesce(v, av + (bv - av) * (i - ai) / (bi - ai)), 6) as v from f""")
+pipe("fill_all_rows", "events", [_SPARSE, {"$fill": {"sortBy": {"event_id": 1}, "output": {"v": "locf"}}}, {"$project": {"event_id": 1, "v": 1}}], "select event_id, last_value(case when event_id % 4 = 0 then value end ignore nulls) over (order by event_id rows unbounded preceding) as v from events")
 pipe("fill_value", "events", [_SPARSE, {"$fill": {"output": {"v": {"value": 0.5}}}}, {"$project": {"event_id": 1, "v": 1}}], "select event_id, case when event_id % 4 = 0 then value else 0.5 end as v from events")
 _HOURLY = [{"$group": {"_id": {"h": "$hour", "e": "$event_type"}, "n": {"$sum": 1}}}, {"$project": {"hour": "$_id.h", "kind": "$_id.e", "n": 1}}, {"$match": {"n": {"$gt": 3}}}]
 _HOURS = "with h as (select date_trunc('hour', ts) as hour, event_type as kind, count(*) as n from events group by 1, 2 having count(*) > 3)"

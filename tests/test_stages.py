@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from papyra.functions.paths import Scope
 from papyra.functions.updates import compile_update
+from papyra.operators import series
 from papyra.plans.pipeline import Context, Pipeline, aggregate
 
 
@@ -101,6 +103,36 @@ def test_a_long_graph(spark):
     assert [x["_id"] for x in rows(found)[0]["seen"]] == list(range(1, 40))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fill_over_all_rows(spark, seed):
+    """Values are carried, and interpolated, over ranges that hold none."""
+    r = random.Random(seed)
+    held = [(i, r.random() if r.random() < (0.02 if seed == 1 else 0.5) else None, i if i % 7 == 0 else None) for i in range(400)]
+    r.shuffle(held)
+    out = aggregate(spark.createDataFrame(held, "i int, v double, w int").repartition(7), [{"$fill": {"sortBy": {"i": -1}, "output": {"v": "linear", "w": "locf", "i": {"value": 0}}}}]).collect()
+    known = sorted((i, v) for i, v, _ in held if v is not None)
+    for x in out:
+        low, high = [k for k in known if k[0] <= x.i], [k for k in known if k[0] >= x.i]
+        wanted = None if not low or not high else low[-1][1] if low[-1] == high[0] else low[-1][1] + (high[0][1] - low[-1][1]) * (x.i - low[-1][0]) / (high[0][0] - low[-1][0])
+        assert (x.v is None) == (wanted is None) and (wanted is None or abs(x.v - wanted) < 1e-9)
+        assert x.w == next((k for k in range(x.i, 400) if k % 7 == 0), None)
+    assert len(out) == 400
+
+
+def test_densify_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(series, "GRID", 10)
+    ints = aggregate(spark.createDataFrame([(0,), (95,)], "n int"), [{"$densify": {"field": "n", "range": {"step": 3, "bounds": "full"}}}])
+    assert sorted(r.n for r in ints.collect()) == sorted({*range(0, 96, 3), 95})
+    floats = aggregate(spark.createDataFrame([(0.0, "a"), (2.5, "a"), (1.0, "b")], "n double, k string"), [{"$densify": {"field": "n", "partitionByFields": ["k"], "range": {"step": 0.1}}}])
+    assert sorted(round(r.n, 6) for r in floats.where("k = 'a'").collect()) == [round(i * 0.1, 6) for i in range(26)]
+    day = dt.date
+    months = aggregate(spark.createDataFrame([(day(2020, 1, 31),), (day(2022, 2, 1),)], "d date"), [{"$densify": {"field": "d", "range": {"step": 1, "unit": "month"}}}])
+    found = sorted(r.d for r in months.collect())
+    assert len(found) == 26 and found[1] == day(2020, 2, 29) and found[2] == day(2020, 3, 31) and months.schema["d"].dataType.simpleString() == "date"
+    back = aggregate(spark.createDataFrame([(1,)], "n int"), [{"$densify": {"field": "n", "range": {"step": 1, "bounds": [5, 2]}}}])
+    assert back.count() == 1
+
+
 def test_densify_and_fill(spark):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     df = spark.createDataFrame([("p", t(0), 1.0), ("p", t(2), None), ("p", t(6), 7.0), ("p", dt.datetime(2024, 1, 1, 2, 30), 9.0), ("q", t(1), None)], "k string, at timestamp_ntz, v double")
