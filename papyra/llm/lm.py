@@ -213,7 +213,9 @@ class Automaton:
         lower, context = np.full(end + 1, end), np.full(end + 1, end)
         lower[n + g.two[two]], context[n + g.two[two]] = g.token[two], g.token[two - 1]
         lower[n + g.three[three]], context[n + g.three[three]] = n + g.two[three], n + g.two[three - 1]
-        bigrams, trigrams = np.unique(g.two[two]) + n, np.unique(g.three[three]) + n
+        kinds = np.zeros((2, end), bool)
+        kinds[0, n + g.two[two]], kinds[1, n + g.three[three]] = True, True
+        bigrams, trigrams = map(np.flatnonzero, kinds)
         p = np.zeros(end)
         p[:n] = (c[:n] + ADD) / (total + ADD * (distinct + 1))
         weight = np.ones(end + 1)
