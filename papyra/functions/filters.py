@@ -169,7 +169,7 @@ def _operator(column: Column, kind: T.DataType, op: str, value: Any, scope: Scop
             out = away <= far
         return out & (away >= options["$minDistance"]) if options.get("$minDistance") is not None else out
     if op in ("$geoWithin", "$within", "$geoIntersects"):
-        return compile_within(column, value)
+        return compile_within(column, value, edges=op == "$geoIntersects")
     raise ValueError(f"unknown filter operator {op}")
 
 

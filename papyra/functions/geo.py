@@ -36,18 +36,21 @@ def in_circle(point: Column, centre: Sequence[float], radius: float) -> Column:
     return F.sqrt(F.pow(x - centre[0], 2) + F.pow(y - centre[1], 2)) <= radius
 
 
-def in_polygon(point: Column, ring: Sequence[Sequence[float]]) -> Column:
-    """Even-odd rule over the edges of a ring, which need not repeat its first vertex."""
+def in_polygon(point: Column, ring: Sequence[Sequence[float]], edges: bool) -> Column:
+    """Even-odd rule over the edges of a ring, which need not repeat its first vertex. Points on an edge or vertex are in if edges is true, else out."""
     x, y = lon_lat(point)
-    odd = F.lit(0)
-    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+    odd, on = F.lit(0), F.lit(0)
+    for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+        (ax, ay), (bx, by) = sorted((a, b), key=lambda vertex: vertex[1])
+        across, along = (x - ax) * (by - ay), (y - ay) * (bx - ax)  # less: left of the edge; equal: on its line
+        on = on + F.when((across == along) & y.between(ay, by) & x.between(min(ax, bx), max(ax, bx)), 1).otherwise(0)
         if ay != by:
-            crosses = ((F.lit(ay) > y) != (F.lit(by) > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-            odd = odd + F.when(crosses, 1).otherwise(0)
-    return odd % 2 == 1
+            odd = odd + F.when((y >= ay) & (y < by) & (across < along), 1).otherwise(0)
+    return (odd % 2 == 1) | (on > 0) if edges else (odd % 2 == 1) & (on == 0)
 
 
-def compile_within(point: Column, shape: dict) -> Column:
+def compile_within(point: Column, shape: dict, edges: bool = False) -> Column:
+    """The edges of polygons, with those of their holes, are not within them, but intersect them (edges is true)."""
     if "$box" in shape:
         return in_box(point, *shape["$box"])
     if "$center" in shape:
@@ -56,13 +59,13 @@ def compile_within(point: Column, shape: dict) -> Column:
         (lon, lat), radius = shape["$centerSphere"]
         return radians_between(point, lon, lat) <= radius
     if "$polygon" in shape:
-        return in_polygon(point, shape["$polygon"])
+        return in_polygon(point, shape["$polygon"], edges)
     geometry = shape.get("$geometry", shape)
     if geometry.get("type") == "Polygon":
         outer, *holes = geometry["coordinates"]
-        found = in_polygon(point, outer[:-1] if outer[0] == outer[-1] else outer)
+        found = in_polygon(point, outer[:-1] if outer[0] == outer[-1] else outer, edges)
         for hole in holes:
-            found = found & ~in_polygon(point, hole[:-1] if hole[0] == hole[-1] else hole)
+            found = found & ~in_polygon(point, hole[:-1] if hole[0] == hole[-1] else hole, not edges)
         return found
     if geometry.get("type") == "Point":
         x, y = lon_lat(point)

@@ -72,3 +72,33 @@ def test_random_filters(spark):
     for _ in range(40):
         spec = tree(3)
         assert ids(df, spec) == [i for i, a, b in rows if matches({"a": a, "b": b}, spec)], spec
+
+
+def test_edges_of_polygons_intersect_them_but_are_not_within(spark):
+    """Points on a grid of halves, and none; by the signs of cross products."""
+    places = [None, *((x / 2, y / 2) for x in range(-3, 14) for y in range(-3, 14))]
+    df = spark.createDataFrame([(i, None if p is None else list(p)) for i, p in enumerate(places)], "_id int, at array<double>").cache()
+
+    def side(p, a, b):
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    def of(p, ring):
+        """1 inside a convex ring, 0 on an edge, -1 outside."""
+        turns = [side(p, a, b) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+        return 1 if all(t > 0 for t in turns) or all(t < 0 for t in turns) else 0 if all(t >= 0 for t in turns) or all(t <= 0 for t in turns) else -1
+
+    def wanted(keep):
+        return [i for i, p in enumerate(places) if p is not None and keep(p)]
+
+    rings = [[[0, 0], [6, 0], [6, 4]], [[6, 4], [6, 0], [0, 0]], [[0, 0], [4, 0], [4, 4], [0, 4]], [[0, 3], [3, 0], [6, 3], [3, 6]], [[-1, 0], [5, 2], [1, 6]]]
+    for ring in rings:
+        inside, touching = wanted(lambda p: of(p, ring) > 0), wanted(lambda p: of(p, ring) >= 0)  # noqa: B023
+        assert inside and len(touching) >= len(inside) + 3
+        for shape in ({"$polygon": ring}, {"$polygon": [*ring, ring[0]]}, {"$geometry": {"type": "Polygon", "coordinates": [[*ring, ring[0]]]}}):
+            assert ids(df, {"at": {"$geoWithin": shape}}) == inside
+        assert ids(df, {"at": {"$geoIntersects": shape}}) == touching
+        assert ids(df, {"$nor": [{"at": {"$geoIntersects": shape}}]}) == sorted(set(range(len(places))) - set(touching))
+    outer, hole = rings[2], [[1, 1], [3, 1], [1, 3]]
+    shape = {"$geometry": {"type": "Polygon", "coordinates": [[*outer, outer[0]], [*hole, hole[0]]]}}
+    assert ids(df, {"at": {"$geoWithin": shape}}) == wanted(lambda p: of(p, outer) > 0 and of(p, hole) < 0)
+    assert ids(df, {"at": {"$geoIntersects": shape}}) == wanted(lambda p: of(p, outer) >= 0 and of(p, hole) <= 0)

@@ -78,3 +78,10 @@ def test_merge_upsert_takes_every_customer_and_inserts(spark, sf):
 def test_distinct_takes_every_order(spark, sf):
     found = {r[0] for r in queries.QUERIES["query_distinct"](spark, sf).collect()}
     assert found == {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority").collect()}
+
+
+def test_polygons_at_every_place(spark, tmp_path):
+    """361 * 179 keys are all places that keys can have; three of them are on the polygon's slanting edge."""
+    spark.range(361 * 179).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    for key in ("geo_polygon", "geo_intersects"):
+        assert differences(queries.QUERIES[key](spark, str(tmp_path)), str(tmp_path), queries.SQL[key]) == ""
